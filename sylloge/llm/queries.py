@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .mixing import schedule
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,10 +18,43 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_mixing": r"""
+        WITH t AS (
+            SELECT source, doc_id, sum(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')))::BIGINT AS n_tokens
+            FROM documents GROUP BY ALL HAVING sum(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))) > 0
+        ), s AS (
+            SELECT source, sum(n_tokens)::BIGINT AS n, ((sum(n_tokens)::BIGINT + 2047) // 2048)::BIGINT AS blocks FROM t GROUP BY source
+        ), w AS (
+            SELECT source, blocks, sum(pow(n::DOUBLE, 0.9)) OVER (ORDER BY source NULLS FIRST) AS cum,
+                sum(pow(n::DOUBLE, 0.9)) OVER (ORDER BY source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low,
+                row_number() OVER (ORDER BY source DESC NULLS LAST) = 1 AS final
+            FROM s
+        ), p AS (
+            SELECT source, blocks, floor(coalesce(low, 0) / (SELECT max(cum) FROM w) * 4294967296)::BIGINT AS lo,
+                CASE WHEN final THEN 4294967296 ELSE floor(cum / (SELECT max(cum) FROM w) * 4294967296)::BIGINT END AS hi
+            FROM w
+        ), z AS (
+            SELECT max(((blocks + 4 + floor(log2(greatest(blocks, 2)))::BIGINT) * 4294967296 + (hi - lo) - 1) // (hi - lo))::BIGINT AS slots FROM p
+        ), slots AS (
+            SELECT i AS slot, (i * 2654435769) % 4294967296 AS point FROM (SELECT unnest(range((SELECT slots FROM z))) AS i)
+        ), ranked AS (
+            SELECT p.source, slot, blocks, row_number() OVER (PARTITION BY p.source ORDER BY slot) - 1 AS r
+            FROM slots JOIN p ON point >= lo AND point < hi
+        ), placed AS (
+            SELECT source, doc_id, n_tokens, ((sum(n_tokens) OVER (
+                PARTITION BY source
+                ORDER BY md5('mix-1:' || coalesce(source, '') || ':' || coalesce(doc_id::VARCHAR, '')), doc_id) - n_tokens) // 2048)::BIGINT AS block
+            FROM t
+        )
+        SELECT doc_id, placed.source, n_tokens, block, slot, (r // blocks)::BIGINT AS epoch
+        FROM placed JOIN ranked ON placed.source IS NOT DISTINCT FROM ranked.source AND block = r % blocks
+        WHERE slot <= (SELECT max(slot) FROM ranked WHERE r = blocks - 1)
+    """,
     "op6_exact_dedup": """
         SELECT doc_id, kept_doc_id
         FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_doc_id FROM documents WHERE text IS NOT NULL)
