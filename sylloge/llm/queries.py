@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .license_digests import DIGESTS
+from .licenses import canonical_sql, license_scan
 from .mixing import schedule
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents"))
 
@@ -18,11 +24,28 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_licenses": op2_licenses,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
+_DIGESTS = ", ".join(f"('{d}', '{n}')" for d, n in sorted(DIGESTS.items()))
+
 ORACLE_SQL = {
+    "op2_licenses": rf"""
+        WITH docs AS (
+            SELECT doc_id, text, regexp_split_to_array(text, '\n[ \t\r]*\n') AS paragraphs, string_split(text, chr(10)) AS lines
+            FROM documents WHERE text IS NOT NULL
+        ), u AS (
+            SELECT doc_id, 'document' AS unit, 0::BIGINT AS place, text AS body FROM docs
+            UNION ALL
+            SELECT doc_id, 'paragraph', unnest(range(len(paragraphs))), unnest(paragraphs) FROM docs
+            UNION ALL
+            SELECT doc_id, 'line', unnest(range(len(lines))), unnest(lines) FROM docs
+        )
+        SELECT doc_id, unit, place, license
+        FROM u JOIN (VALUES {_DIGESTS}) AS k(digest, license) ON sha256({canonical_sql("body")}) = digest
+    """,
     "op5_mixing": r"""
         WITH t AS (
             SELECT source, doc_id, sum(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')))::BIGINT AS n_tokens
