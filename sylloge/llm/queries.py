@@ -9,9 +9,14 @@ from .exact_dedup import exact_duplicates
 from .license_digests import DIGESTS
 from .licenses import canonical_sql, license_scan
 from .mixing import schedule
+from .simhash import near_duplicates
 from .toxicity import toxic_documents
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
