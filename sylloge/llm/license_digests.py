@@ -1,17 +1,17 @@
 """SHA-256 digests of the canonical forms of public licences and licence notices, with SPDX identifiers."""
 
 DIGESTS: dict[str, str] = {
+    "298fe79cf4d1301939a2679035830a3d78e85e27a3c9f491aee4fbeeb42238cd": "Apache-2.0",
     "54df39d73f3aaeb0325a6996fea0308bb0ed1cda5d3e88684094de1cf11b0c49": "Apache-2.0",
     "55c4818fec5edc4ad97ce6b966a9f3923e8e7dc48643b5d6333ba9a3b1d7e260": "Apache-2.0",
     "61e37e83588ce2698527a7d21a3b9b4762a937822ba108a58a8a002d8087ec03": "Apache-2.0",
     "629e3e0c6dd61e3670804dfe86ec068ebad38e602400cf9a37101e7d11247b85": "Apache-2.0",
+    "86241aabd9a92d8c67dfd16d0ca22e43539f0d016601145785ab27ae4033cc00": "Apache-2.0",
     "8e4ff0b88442a2b67fc201f9b3ea9f698a4d26f8f83468ead1f50e875acd2bf3": "Apache-2.0",
     "a137d44e54c78ca1413757688a04f9e8db9bfcae315c66e30e9a6eca5bf3f90a": "Apache-2.0",
-    "b2983645687553decf88235951d78492c017dc2e82ac78b04f30dad4a2c7ae70": "Apache-2.0",
-    "c9932b599b03276a13cc0dc69ac75864ba5179560003c5c6d281ff3433b81f73": "Apache-2.0",
-    "ce4448e1358e0cf776f50bd328729c97b9b2bd798602dffdc0a4b3aae8b38628": "Apache-2.0",
+    "ed3239740bd9909fc793f5a6fef3dd0e0de0529ff728d06aa7337d387a0d6bf5": "Apache-2.0",
     "eff9e05c9de2ebaf67a47336fef7135676ea38a388048f3f843195d9ee4d2e77": "Apache-2.0",
-    "2bc2e21eeb05e8cb1961920eaef74b446d3a0eacc3204c2c0c03432443918764": "Artistic-1.0-Perl",
+    "e6e0a89c729d8b6f73de6a0422b960ddab89445ac9ad91383c9feda4dd0e3315": "Artistic-1.0-Perl",
     "7be8178e4e9d0dea6ff4b04bd52bd086d7ea8386a5a6e09760df916bae5d42d2": "BSD-2-Clause",
     "89ca91930ea55aff34ba4afee0eaa74b51a1b961b85435e5e171c210eeda6c49": "BSD-2-Clause",
     "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74": "BSD-2-Clause",
@@ -49,25 +49,25 @@ DIGESTS: dict[str, str] = {
     "047cc44986b852734b1d823e65c1d04e9255172c533d1b225fa84b45132a2f83": "CC-BY-SA-4.0",
     "97a71a9694f66cb1c9e41bc579b210a75f7967b3220db9c9a5f1b0a21ae07d89": "CC-BY-SA-4.0",
     "f3d3c7d830563272cb5aee52bd7b52e6932ea9ed9de229fd3b3a8390f2461880": "CC-BY-SA-4.0",
-    "2c38e82767e063fea47333138707c2860484ca66d24e87df718722c86e7fc5e7": "CC0-1.0",
+    "1bc07ffacd061ab755e0461854b2e964c076d04d0c6b2335472fe319107eb2f6": "CC0-1.0",
     "96915353d7a84082bcbf6b803c99c651e279a832da34fbea4ba84c9005155395": "CC0-1.0",
-    "9715a0761b12c1f0eb56af3e1018bbb9f54ed6f184f82079718a6cd01efb0cbe": "GFDL-1.2",
-    "0a6a470733b901ceb92ab24da4ae85d5c14003caf55d22f78fd76b6ee918fdde": "GFDL-1.3",
-    "7ab74a1bca5cbe4a12db1a6394c6752c53faf11c15f6121529bdd1931254ce94": "GPL-1.0",
-    "0057608884d602b7953bcc46875ac3d4236e06c7a25a82068211525bd0472da8": "GPL-2.0",
+    "9c110c8499fdce7c227d2ccbcca56e69c555a5c1cd8f55a2735e5fd1bb61ebc5": "GFDL-1.2",
+    "58647d7698e8cc9287ab9cbe3caa6b96e7a4fdbc96758e88214e2e5eecbb2c9b": "GFDL-1.3",
+    "4604f34ffdebeed249cceddb21baee83738cf6d6b94d7ae47484293bec1df829": "GPL-1.0",
     "0e6b0d8ae1640cddb38957b1a08b80e984c3f0eb62267c6ca3442ac53a559235": "GPL-2.0",
+    "153618ed3dab8f1ab81a91a4d1cba353d09b9608bb938389593b0aef7d6c6322": "GPL-2.0",
     "28958fac8a58ce674ecb6977b393ca62e80e13a0c4832ec07c34de6da4d40e53": "GPL-2.0",
     "ee767ef3a599b72320b8b8b2bc3668ad48821d4c817f69d9335b81ce11cfe787": "GPL-2.0-or-later",
     "3101c5ffaa8af2f8de8cee2ba2c5b0c0558c08a3d24dafc1feae1dc583819bfb": "GPL-3.0",
     "345ddc417eed2da58a6a22674107901717852856fb9c1a538a66cc46ad05dc2a": "GPL-3.0",
-    "73821b4cc5d505b9f2fc3dfbf14991e4f646a0eeab844dc975071ce17d66ee2a": "GPL-3.0",
+    "82a400c7cc085b163cc6a097e72a15d0458553fcbf4344d003f6e5c7c0c6a56e": "GPL-3.0",
     "86cc14fde51d648e1d084ecc39341eefd11fedf263aba490c5b70924ca271986": "GPL-3.0",
     "dd6c151ebade1b5768bee74f68f3c2411f5642233b989d6264ff23749e134926": "GPL-3.0",
     "3f5f817483efbffb26e869e09a7c038be5cfefaee344419606b463e6909d08da": "GPL-3.0-or-later",
     "adc57f08417ed17a8ab63cb2d6aa8a9d4a7ccc34008f14f335a1ec54b6800d95": "ISC",
-    "eec0d858b8768d4d8bcec736a249726e432ec7c876a41b9e2163eb2682437134": "LGPL-2.0",
-    "205aac26542d041ffc5b7f469d7d8300dd5e7734a36cd8b6f6ea9be74a2b4828": "LGPL-2.1",
-    "297070d60ea6411d4a894602e68d90071b22d5d24b039421e865ee2caeaa5077": "LGPL-3.0",
+    "5b9798f5bb361ceac63635d7f4233edb1424725202ff476008e4ba8e43ee508e": "LGPL-2.0",
+    "14b88834985f12f356fa4059a9513e7c5930f5e7501f224f04b45a0f9d57c67c": "LGPL-2.1",
+    "6b7235d3fb71e3e003c181b2c4040028d4a5fe17bb00b1f21e7bbf9582ca9de5": "LGPL-3.0",
     "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c": "MIT",
     "10084909833061795d86abbc16c393b5af06624cbf691604b5eb6eafe7e764f2": "MIT",
     "123a3b9fdc300d1b6f077f74b288de15d7f2c5b0b3b11e89fd799b48bfad5940": "MIT",
@@ -77,9 +77,9 @@ DIGESTS: dict[str, str] = {
     "6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127": "MIT",
     "8ce93b2245a9d1b80f7da16dedba558b4c72b80097e4a8509f7c57bd4a664117": "MIT",
     "bf637265454fa1bb19e93b82695ec6f4ef7cfe2a7c742cf53ab79facb4d91c0c": "MIT",
-    "79fe8b23f6434bc03400400ce7ddeece15a9e6ea9a8eb68ad2693a71b4922e4a": "MPL-1.1",
-    "369c27cfbc976a27bb21e143480edd794433e1a127e1cbd3ecd9878b131900d4": "MPL-2.0",
+    "834c175da439d19de02e5394de2c4e4d0cc8f7753f5dbd221d0576f6bd5564df": "MPL-1.1",
     "8f348ef7479d6155e0c21a1174325143b8376f2d2e67184b5a315a15cdad68a8": "MPL-2.0",
     "9d299cc532b9868f3f8a9efd71918375cf44ec4a9d5a17b34c5d81da4f0b7096": "MPL-2.0",
+    "af3c48290a89614e341f9781801d7d70f3609603b1cf45cbbb5617e6a78e01a3": "MPL-2.0",
     "bddd8aed1edc9be5be172453950c8927b19c1b62f9addfef88b5ee18b8511f46": "Unlicense",
 }

@@ -2,8 +2,8 @@
 
 A text is brought to a canonical form (case, punctuation, white space, copyright lines, comment signs and
 equivalent spellings) and its SHA-256 is joined with a table of digests of known licences and notices. Whole
-documents are looked up, and so are their paragraphs and their lines, each as an entire text. The digest table has
-a fixed size, so broadcasting it is safe at any input size.
+documents are looked up, and so are their paragraphs and their lines, each as an entire text. The digest
+table has a fixed size, so broadcasting it is safe at any input size.
 """
 
 from __future__ import annotations
@@ -11,80 +11,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism
-
-#: (pattern, replacement) in order, in the syntax that Java, RE2 and Python share. Applied to lower case.
+#: Lines that state a copyright, in lower case. The syntax is what Java, RE2 and Python share.
 COPYRIGHT_LINES = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-STEPS = [
-    (COPYRIGHT_LINES, " "),
-    (r"https?://", " "),
-    (r"[^a-z0-9]+", " "),
-    (r"\b(licence|licensed|licenced|licenses|licences|licensing)\b", "license"),
-    (r"\b(version |ver |v |v)([0-9])", "$2"),
-    (r"\b(non commercial)\b", "noncommercial"),
-    (r"\b(sub license)\b", "sublicense"),
-    (r"\b(whilst)\b", "while"),
-    (r"\b(organisation)", "organization"),
+#: What such a line must hold, so that texts without it aren't searched.
+COPYRIGHT_SIGNS = ["copyright", "(c)", "©", "all rights reserved"]
+PUNCTUATION = r"[^a-z0-9\n]+"
+#: Equivalent spellings, replaced in order in text of single spaces with one at either end.
+SPELLINGS = [
+    ("licence", "license"),
+    ("licensed", "license"),
+    ("licenced", "license"),
+    ("licensing", "license"),
+    ("licenses", "license"),
+    (" sub license", " sublicense"),
+    (" non commercial", " noncommercial"),
+    (" organisation", " organization"),
+    (" whilst ", " while "),
+    (" https ", " "),
+    (" http ", " "),
+    (" version ", " "),
+    *((f" v{gap}{n}", f" {n}") for n in "1234" for gap in (" ", "")),
 ]
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text, without copyright lines, case, punctuation and outer spaces."""
+    low = F.lower(text)
+    stated = F.contains(low, F.lit(COPYRIGHT_SIGNS[0]))
+    for sign in COPYRIGHT_SIGNS[1:]:
+        stated |= F.contains(low, F.lit(sign))
+    bare = F.when(stated, F.regexp_replace(low, COPYRIGHT_LINES, "$1")).otherwise(low)
+    return F.transform(F.split(F.regexp_replace(bare, PUNCTUATION, " "), "\n"), F.trim)
+
 
-def canonical(text: Column) -> Column:
-    out = F.lower(text)
-    for pattern, new in STEPS:
-        out = F.regexp_replace(out, pattern, new)
+def _spelled(body: Column) -> Column:
+    out = F.concat(F.lit(" "), body, F.lit(" "))
+    for old, new in SPELLINGS:
+        out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(out)
 
 
-def canonical_sql(text: str) -> str:
-    """The same for DuckDB."""
-    out = f"lower({text})"
-    for pattern, new in STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+def lines_sql(text: str) -> str:
+    bare = rf"regexp_replace(lower({text}), '{COPYRIGHT_LINES}', '\1', 'g')"
+    return f"list_transform(string_split(regexp_replace({bare}, '{PUNCTUATION}', ' ', 'g'), chr(10)), lambda l: trim(l))"
+
+
+def spelled_sql(body: str) -> str:
+    out = f"(' ' || {body} || ' ')"
+    for old, new in SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
     return f"trim({out})"
 
 
-def canonical_py(text: str) -> str:
-    """The same for one string, to make digests and to test with."""
+def canonical(text: str) -> str:
+    """The canonical form of one whole text, in Python."""
     import re
 
-    out = text.lower()
-    for pattern, new in STEPS:
-        out = re.sub(pattern, new.replace("$", "\\"), out, flags=re.ASCII)
+    bare = re.sub(COPYRIGHT_LINES, r"\1", text.lower())
+    lines = [x.strip(" ") for x in re.sub(PUNCTUATION, " ", bare).split("\n")]
+    out = " " + " ".join(x for x in lines if x) + " "
+    for old, new in SPELLINGS:
+        out = out.replace(old, new)
     return out.strip(" ")
 
 
 def digest(text: str) -> str:
     import hashlib
 
-    return hashlib.sha256(canonical_py(text).encode()).hexdigest()
+    return hashlib.sha256(canonical(text).encode()).hexdigest()
 
 
 def known(spark: SparkSession) -> DataFrame:
-    from .license_digests import DIGESTS as rows
+    from .license_digests import DIGESTS
 
-    return spark.createDataFrame(sorted(rows.items()), "digest string, license string")
+    return spark.createDataFrame(sorted(DIGESTS.items()), "digest string, license string")
 
 
 def license_scan(docs: DataFrame, digests: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, unit, place, license): each document, paragraph and line that is entirely a known text.
 
-    unit is 'document', 'paragraph' or 'line'; place counts paragraphs (parted by blank lines) and lines
-    from 0. digests has the columns (digest, license) and is broadcast. A document without a line break has its
-    line and paragraph reported as well as itself. Null and empty texts match nothing; rows with a null id are
-    scanned like others; repeated rows give repeated results; other columns are ignored.
+    unit is 'document', 'paragraph' or 'line'; place counts the paragraphs or lines from 0. Paragraphs are
+    parted by lines without letters and digits or with a copyright; they and lines are reported only where a
+    document has two or more. digests has the columns (digest, license) and is broadcast. Null and empty
+    texts match nothing; rows with a null id are scanned like others; repeated rows give repeated results;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    units = base.select(
+    lines = base.select("doc_id", _lines(F.col("text")).alias("lines"))
+    split = lines.select("doc_id", "lines", F.split(F.trim(F.lit("\n"), F.array_join("lines", "\n")), "\n\n+").alias("paragraphs"))
+    unit = lambda name, place, body: F.struct(F.lit(name).alias("unit"), place.cast("long").alias("place"), body.alias("body"))
+    whole = F.array_join(F.filter("lines", lambda x: x != ""), " ")
+    units = split.select(
         "doc_id",
         F.explode(
             F.concat(
-                F.array(F.struct(F.lit("document").alias("unit"), F.lit(0).alias("place"), F.col("text").alias("body"))),
-                F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("paragraph").alias("unit"), i.alias("place"), x.alias("body"))),
-                F.transform(F.split("text", r"\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("place"), x.alias("body"))),
+                F.array(unit("document", F.lit(0), whole)),
+                F.filter(F.transform("paragraphs", lambda x, i: unit("paragraph", i, F.replace(x, F.lit("\n"), F.lit(" ")))), lambda u: F.size("paragraphs") > 1),
+                F.filter(F.transform("lines", lambda x, i: unit("line", i, x)), lambda u: F.size("lines") > 1),
             )
         ).alias("u"),
-    ).select("doc_id", "u.unit", "u.place", F.sha2(canonical(F.col("u.body")), 256).alias("digest"))
-    found = units.join(F.broadcast(digests if digests is not None else known(spark)), "digest")
-    return found.select("doc_id", "unit", F.col("place").cast("long").alias("place"), "license")
+    ).select("doc_id", "u.unit", "u.place", F.sha2(_spelled(F.col("u.body")), 256).alias("digest"))
+    return units.join(F.broadcast(digests if digests is not None else known(spark)), "digest").select("doc_id", "unit", "place", "license")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_duplicates
 from .license_digests import DIGESTS
-from .licenses import canonical_sql, license_scan
+from .licenses import license_scan, lines_sql, spelled_sql
 from .mixing import schedule
 from .simhash import near_duplicates
 from .toxicity import toxic_documents
@@ -46,17 +46,17 @@ _DIGESTS = ", ".join(f"('{d}', '{n}')" for d, n in sorted(DIGESTS.items()))
 ORACLE_SQL = {
     "op2_licenses": rf"""
         WITH docs AS (
-            SELECT doc_id, text, regexp_split_to_array(text, '\n[ \t\r]*\n') AS paragraphs, string_split(text, chr(10)) AS lines
-            FROM documents WHERE text IS NOT NULL
+            SELECT doc_id, lines, string_split_regex(trim(array_to_string(lines, chr(10)), chr(10)), '\n\n+') AS paragraphs
+            FROM (SELECT doc_id, {lines_sql("text")} AS lines FROM documents WHERE text IS NOT NULL)
         ), u AS (
-            SELECT doc_id, 'document' AS unit, 0::BIGINT AS place, text AS body FROM docs
+            SELECT doc_id, 'document' AS unit, 0::BIGINT AS place, array_to_string(list_filter(lines, lambda l: l <> ''), ' ') AS body FROM docs
             UNION ALL
-            SELECT doc_id, 'paragraph', unnest(range(len(paragraphs))), unnest(paragraphs) FROM docs
+            SELECT doc_id, 'paragraph', unnest(range(len(paragraphs))), replace(unnest(paragraphs), chr(10), ' ') FROM docs WHERE len(paragraphs) > 1
             UNION ALL
-            SELECT doc_id, 'line', unnest(range(len(lines))), unnest(lines) FROM docs
+            SELECT doc_id, 'line', unnest(range(len(lines))), unnest(lines) FROM docs WHERE len(lines) > 1
         )
         SELECT doc_id, unit, place, license
-        FROM u JOIN (VALUES {_DIGESTS}) AS k(digest, license) ON sha256({canonical_sql("body")}) = digest
+        FROM u JOIN (VALUES {_DIGESTS}) AS k(digest, license) ON sha256({spelled_sql("body")}) = digest
     """,
     "op5_mixing": r"""
         WITH t AS (
