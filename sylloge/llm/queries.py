@@ -10,6 +10,8 @@ from .exact_dedup import exact_duplicates
 from .license_digests import DIGESTS
 from .licenses import license_scan, lines_sql, spelled_sql
 from .mixing import schedule
+from .pii import find_pii
+from .secrets import find_secrets
 from .simhash import near_duplicates
 from .toxicity import toxic_documents
 
@@ -38,6 +40,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -45,6 +55,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pii": op7_pii,
+    "op8_secrets": op8_secrets,
 }
 
 _DIGESTS = ", ".join(f"('{d}', '{n}')" for d, n in sorted(DIGESTS.items()))
