@@ -13,6 +13,7 @@ from .mixing import schedule
 from .pii import find_pii
 from .secrets import find_secrets
 from .simhash import near_duplicates
+from .substrings import repeated_passages
 from .toxicity import toxic_documents
 
 
@@ -48,6 +49,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -57,6 +62,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
+    "op9_substrings": op9_substrings,
 }
 
 _DIGESTS = ", ".join(f"('{d}', '{n}')" for d, n in sorted(DIGESTS.items()))
