@@ -10,6 +10,7 @@ from .exact_dedup import exact_duplicates
 from .license_digests import DIGESTS
 from .licenses import license_scan, lines_sql, spelled_sql
 from .mixing import schedule
+from .neighbours import nearest_neighbours
 from .pii import find_pii
 from .secrets import find_secrets
 from .simhash import near_duplicates
@@ -53,6 +54,10 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -63,6 +68,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_substrings": op9_substrings,
+    "op10_neighbours": op10_neighbours,
 }
 
 _DIGESTS = ", ".join(f"('{d}', '{n}')" for d, n in sorted(DIGESTS.items()))
