@@ -28,6 +28,8 @@ DISCOUNT = 0.75
 HELD_OUT = 5
 #: N-grams a broadcast model may have; rarest ones are left out of a larger one, to be scored by their context.
 MAX_NGRAMS = 8_000_000
+#: Labelled ids that may be broadcast (64 MB), so that texts stay where they are; more are joined by a shuffle.
+BROADCAST_LABELS = 4_000_000
 #: Steps of a score for which the held-out documents are counted.
 STEP = 0.01
 
@@ -206,6 +208,8 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str) -> Data
     """(id, text, toxic) of the labelled documents; an id that is labelled both ways counts as toxic."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    if marks.count() <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
     return own.join(marks, "id")
 
 
