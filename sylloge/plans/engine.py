@@ -37,7 +37,8 @@ def _facts(spark: SparkSession, key: Key, clauses: list[Clause]) -> Relation:
         kinds = {isinstance(v, str) for v in values}
         if len(kinds) > 1:
             raise DatalogError(f"{key[0]}/{key[1]} has atoms and numbers in place {i + 1}")
-        columns.append(pa.array(values, pa.string() if kinds == {True} else pa.float64()))
+        whole = kinds == {False} and all(v == int(v) and abs(v) < 2**53 for v in values)
+        columns.append(pa.array(map(int, values) if whole else values, pa.string() if kinds == {True} else pa.int64() if whole else pa.float64()))
     return Relation(spark.createDataFrame(pa.Table.from_arrays(columns, [f"c{i}" for i in range(key[1])])), key[1], True)
 
 

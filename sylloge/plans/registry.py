@@ -73,10 +73,10 @@ datalog("projection_distinct", "select S, P where orders(_,_,S,_,_,P)", 'SELECT
 datalog("implicit_projection", "supplier(S,_,N,B)", 'SELECT DISTINCT s_suppkey AS "S", s_nationkey AS "N", s_acctbal AS "B" FROM supplier')
 datalog("semi_join", "select C where customer(C,_,_,_,_), orders(_,C,_,_,_,'1-URGENT')",
     """SELECT c_custkey AS "C" FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
-datalog("negation_anti", "select C, N where customer(C,N,_,_,_), \\+ orders(_,C,_,_,_,_)",
-    'SELECT c_custkey AS "C", c_name AS "N" FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)')
-datalog("negation_wildcard", "select P where part(P,_,_,_,_,_), \\+ lineitem(_,P,_,_,_,_,_,_,'R',_,_)",
-    """SELECT p_partkey AS "P" FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')""")
+datalog("negation_anti", "select C, N where customer(C,N,_,_,_), \\+ orders(_,C,'P',_,_,'5-LOW')",
+    """SELECT c_custkey AS "C", c_name AS "N" FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '5-LOW')""")
+datalog("negation_wildcard", "select P where part(P,_,_,_,_,_), \\+ lineitem(_,P,_,1,_,_,_,_,'R','O',_)",
+    """SELECT p_partkey AS "P" FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_linestatus = 'O' AND l_linenumber = 1)""")
 datalog("negation_ground", "select R where region(R,_), \\+ nation(999,_,_)", 'SELECT r_regionkey AS "R" FROM region')
 datalog("union_rules", "nation_with(N)",
     'SELECT s_nationkey AS "N" FROM supplier WHERE s_acctbal > 9000 UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9500',
@@ -111,8 +111,8 @@ def limit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- aggregates -----------------------------------------------------------------------------------------
 
-datalog("agg_count", "count(*) as N where customer(C,_,_,_,_), \\+ orders(_,C,_,_,_,_)",
-    'SELECT count(*)::BIGINT AS "N" FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)')
+datalog("agg_count", "count(*) as N where customer(C,_,_,_,_), \\+ orders(_,C,'P',_,_,_)",
+    """SELECT count(*)::BIGINT AS "N" FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
 datalog("agg_count_wildcard", "per_customer(C,N)",
     'SELECT c_custkey AS "C", count(*)::BIGINT AS "N" FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey',
     "per_customer(C,N) :- count(*) as N where customer(C,_,_,_,_), orders(_,C,_,_,_,_).")
@@ -132,8 +132,8 @@ datalog("agg_over_agg", "max(N) as M where n_orders(_,N)",
     'SELECT max(n)::BIGINT AS "M" FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)',
     "n_orders(C,N) :- count(*) as N where orders(_,C,_,_,_,_).")
 datalog("agg_negated", "quiet(N,K)",
-    'SELECT c_nationkey AS "N", count(*)::BIGINT AS "K" FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1',
-    "quiet(N,K) :- count(*) as K where customer(C,_,N,_,_), \\+ orders(_,C,_,_,_,_).")
+    'SELECT c_nationkey AS "N", count(*)::BIGINT AS "K" FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice = o_totalprice AND o_orderstatus = \'P\') GROUP BY 1',
+    "quiet(N,K) :- count(*) as K where customer(C,_,N,_,_), \\+ orders(_,C,'P',_,_,_).")
 
 
 @add("agg_witnesses", """SELECT o_orderstatus AS "S", o_orderkey AS "O", o_totalprice AS "P" FROM orders
@@ -169,14 +169,14 @@ recursion("reach_linear", "anc(X,Y)", "anc(X,Y) :- up(X,Y). anc(X,Z) :- up(X,Y),
 recursion("reach_nonlinear", "anc(X,Y)", "anc(X,Y) :- up(X,Y). anc(X,Z) :- anc(X,Y), anc(Y,Z).",
     f'WITH RECURSIVE a AS ({_UP} UNION SELECT a.x, u.y FROM a JOIN ({_UP}) u ON u.x = a.y) SELECT x AS "X", y AS "Y" FROM a', 0)
 recursion("reach_cycle", "path(X,Y)", "edge(X,Y) :- nation(X,_,_), nation(Y,_,_), Y = X + 1. edge(24,0). path(X,Y) :- edge(X,Y). path(X,Z) :- path(X,Y), edge(Y,Z).",
-    'SELECT a.n_nationkey::DOUBLE AS "X", b.n_nationkey::DOUBLE AS "Y" FROM nation a, nation b')
+    'SELECT a.n_nationkey::BIGINT AS "X", b.n_nationkey::BIGINT AS "Y" FROM nation a, nation b')
 recursion("reach_bound", "select Y where anc(100,Y)", "anc(X,Y) :- up(X,Y). anc(X,Z) :- up(X,Y), anc(Y,Z).",
     'WITH RECURSIVE a AS (SELECT 100::BIGINT AS x UNION SELECT x // 2 FROM a WHERE x > 0) SELECT x AS "Y" FROM a WHERE x < 100')
 recursion("same_generation", "select X, Y where sg(X,Y), X != Y",
     "member(X,R) :- nation(X,_,R). sg(X,X) :- nation(X,_,_). sg(X,Y) :- member(X,P), sg2(P,Q), member(Y,Q). sg2(R,R) :- region(R,_). sg2(P,Q) :- sg(X,Y), member(X,P), member(Y,Q).",
     'SELECT a.n_nationkey AS "X", b.n_nationkey AS "Y" FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey <> b.n_nationkey')
 recursion("mutual_recursion", "even(X)", "even(0). odd(X) :- even(Y), nation(X,_,_), X = Y + 1. even(X) :- odd(Y), nation(X,_,_), X = Y + 1.",
-    'SELECT n_nationkey::DOUBLE AS "X" FROM nation WHERE n_nationkey % 2 = 0')
+    'SELECT n_nationkey::BIGINT AS "X" FROM nation WHERE n_nationkey % 2 = 0')
 recursion("recursion_negation", "unreached(X)", "reach(1). reach(X) :- up(X,Y), reach(Y), X < 64. unreached(X) :- up(X,_), \\+ reach(X).",
     'WITH RECURSIVE r AS (SELECT 1::BIGINT AS x UNION SELECT p_partkey FROM part JOIN r ON p_partkey // 2 = r.x WHERE p_partkey < 64 AND p_partkey > 0) SELECT p_partkey AS "X" FROM part WHERE p_partkey > 0 AND p_partkey NOT IN (SELECT x FROM r)')
 recursion("recursion_aggregate", "depth(X,N)", "anc(X,Y) :- up(X,Y). anc(X,Z) :- up(X,Y), anc(Y,Z). depth(X,N) :- count(*) as N where anc(X,_).",
