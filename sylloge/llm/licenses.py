@@ -99,7 +99,7 @@ def license_scan(docs: DataFrame, digests: DataFrame | None = None, text: str =
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
     lines = base.select("doc_id", _lines(F.col("text")).alias("lines"))
-    split = lines.select("doc_id", "lines", F.split(F.trim(F.lit("\n"), F.array_join("lines", "\n")), "\n\n+").alias("paragraphs"))
+    split = lines.select("doc_id", "lines", F.split(F.trim(F.array_join("lines", "\n"), F.lit("\n")), "\n\n+").alias("paragraphs"))
     unit = lambda name, place, body: F.struct(F.lit(name).alias("unit"), place.cast("long").alias("place"), body.alias("body"))
     whole = F.array_join(F.filter("lines", lambda x: x != ""), " ")
     units = split.select(
