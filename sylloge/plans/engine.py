@@ -124,11 +124,14 @@ class Engine:
                 continue
             if any(k not in ("num", "str") for k in db[key].kinds):
                 return None
+            if not key[1]:
+                rows[key] = [] if db[key].df.isEmpty() else [()]
+                continue
             got = db[key].df.select(*(F.col(c).cast("double") if k == "num" else F.col(c) for c, k in zip(db[key].df.columns, db[key].kinds))).limit(left + 1).toArrow()
             left -= got.num_rows
             if left < 0 or any(c.null_count for c in got.columns):
                 return None
-            rows[key] = [()] if not key[1] and got.num_rows else list(zip(*(c.to_pylist() for c in got.columns))) if key[1] else []
+            rows[key] = list(zip(*(c.to_pylist() for c in got.columns)))
         try:
             done = Local(rules, rows, max_facts=10 * self.local_rows, max_rounds=self.max_rounds)
         except LimitError:

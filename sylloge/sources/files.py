@@ -27,7 +27,7 @@ def write_program(spark: SparkSession, clauses: list[Clause], path: str) -> None
 
 def json_rows(df: DataFrame, most: int = MAX_ROWS, most_bytes: int = MAX_BYTES) -> str:
     """The rows as a JSON array; an error for more than most rows or bytes."""
-    rows = df.limit(most + 1).toJSON().collect()
+    rows = [r[0] for r in df.limit(most + 1).select(F.to_json(F.struct(*df.columns))).collect()]
     if len(rows) > most:
         raise LimitError(f"more than {most} rows")
     text = "[" + ",".join(rows) + "]"
