@@ -2,9 +2,10 @@
 
 Two character n-gram models over words, one of toxic and one of ordinary labelled documents, share the
 counts they back off to: an expression that is rare in a class gets the probability that the corpus as a
-whole gives it, so only well attested differences count. The score of a document is the largest
-length-normalised log-likelihood ratio of its words; it is toxic from the threshold on, which is fitted on
-labelled documents that the counts leave out.
+whole gives it, so only well attested differences count. A document has two length-normalised log-likelihood ratios: that
+of its most telling word by the word's length, and the sum of what all words have beyond a margin by the
+document's length, for expressions that tell only together. It is toxic where either reaches its threshold; both are
+fitted on labelled documents that the counts leave out.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ HELD_OUT = 5
 MAX_NGRAMS = 8_000_000
 #: Labelled ids that may be broadcast (64 MB), so that texts stay where they are; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
-#: Steps of a score for which the held-out documents are counted.
-STEP = 0.01
+#: Steps of the two ratios for which the held-out documents are counted.
+STEPS = (0.02, 0.005)
+#: Log-likelihood ratio of a word beyond which it adds to the second ratio, and words added to every document's length.
+MARGIN, LENGTH = 3.0, 50
 
 _BITS = 10
 _START, _END = 1, 2
@@ -114,38 +117,46 @@ class Model:
     ratios: np.ndarray
     contexts: np.ndarray
     context_ratios: np.ndarray
-    threshold: float = np.inf
+    thresholds: tuple[float, float] = (np.inf, np.inf)
 
     def words(self, words: list[str]) -> np.ndarray:
-        """The length-normalised log-likelihood ratio of each word."""
+        """(log-likelihood ratio by length, excess over the margin) of each word."""
         g = grams(words)
         value = _looked_up(self.contexts, self.context_ratios, g.keys >> _BITS, 0.0)
         value = _looked_up(self.grams, self.ratios, g.keys, value)
-        return np.bincount(g.word, value, len(words)) / g.length
+        total = np.bincount(g.word, value, len(words))
+        return np.stack([total / g.length, np.maximum(total - MARGIN, 0)], axis=1)
 
-    def score(self, texts: pa.Array, cache: dict[int, float]) -> np.ndarray:
-        """The largest score of the words of each text; 0 without words."""
+    def ratios_of(self, texts: pa.Array, cache: dict[int, tuple[float, float]]) -> np.ndarray:
+        """The two ratios of each text; 0 without words."""
         w = split(texts)
-        out = np.zeros(len(texts))
+        out = np.zeros((len(texts), 2))
         digit = np.concatenate([[0], np.cumsum((w.buf >= 48) & (w.buf <= 57))])
         at = np.flatnonzero(digit[w.ends] == digit[w.starts])
         if not len(at):
             return out
         hashes, one, which = np.unique(w.hashes[at], return_index=True, return_inverse=True)
-        known = np.fromiter((cache.get(h, np.nan) for h in hashes.tolist()), dtype=np.float64, count=len(hashes))
-        new = np.flatnonzero(np.isnan(known))
+        missing = (np.nan, np.nan)
+        known = np.array([cache.get(h, missing) for h in hashes.tolist()])
+        new = np.flatnonzero(np.isnan(known[:, 0]))
         if len(new):
             raw = w.buf.tobytes()
             places = at[one[new]]
             known[new] = self.words([raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[places].tolist(), w.ends[places].tolist())])
             if len(cache) > CACHE:
                 cache.clear()
-            cache.update(zip(hashes[new].tolist(), known[new].tolist()))
+            cache.update(zip(hashes[new].tolist(), map(tuple, known[new].tolist())))
         doc = w.doc[at]
         begins = np.flatnonzero(np.diff(doc, prepend=-1))
-        out[doc[begins]] = np.maximum.reduceat(known[which], begins)
+        each = known[which]
+        out[doc[begins], 0] = np.maximum.reduceat(each[:, 0], begins)
+        out[doc[begins], 1] = np.add.reduceat(each[:, 1], begins) / (np.diff(np.append(begins, len(doc))) + LENGTH)
         return out
 
+    def score(self, texts: pa.Array, cache: dict[int, tuple[float, float]]) -> np.ndarray:
+        """The larger ratio of each text in terms of its threshold; toxic from 1 on."""
+        return (self.ratios_of(texts, cache) / self.thresholds).max(axis=1)
+
 
 #: Scores of words a Python worker remembers.
 CACHE = 1_000_000
@@ -223,28 +234,52 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     if not ordinary.any() or not toxic.any():
         return Model(*(np.empty(0, dtype=t) for t in (np.int64, np.float32, np.int64, np.float32)))
     model = kneser_ney(*_kept(keys, ordinary, toxic))
-    bins = rows.where(held).select("toxic", F.floor(scorer(model, docs)(F.col("text")) / STEP).cast("long").alias("bin"))
-    found = bins.groupBy("bin", "toxic").count().collect()
-    model.threshold = best_threshold([(r["bin"] * STEP, r["toxic"], r["count"]) for r in found])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[int, tuple[float, float]] = {}
+        for batch in chunks(batches):
+            bins = np.floor(shared.value.ratios_of(batch["text"], cache) / STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(bins[:, 0]), pa.array(bins[:, 1])], ["toxic", "a", "b"])
+
+    found = rows.where(held).select("text", "toxic").mapInArrow(binned, "toxic int, a long, b long").groupBy("a", "b", "toxic").count().collect()
+    model.thresholds = best_thresholds([(r["a"] * STEPS[0], r["b"] * STEPS[1], r["toxic"], r["count"]) for r in found])
     return model
 
 
-def best_threshold(found: list[tuple[float, int, int]]) -> float:
-    """The middle of the thresholds with the fewest errors in (score, toxic, count); infinite without toxic ones."""
-    toxic_n = sum(n for _, t, n in found if t)
-    if not toxic_n:
-        return float("inf")
+def best_thresholds(found: list[tuple[float, float, int, int]]) -> tuple[float, float]:
+    """The two thresholds with the fewest errors in (ratio, ratio, toxic, count), each in the middle of its range."""
+    options = []
+    for t in sorted({x[0] for x in found if x[0] > 0}) + [np.inf]:
+        above = sum(n for a, _, toxic, n in found if a >= t and not toxic)
+        rest = [(b, toxic, n) for a, b, toxic, n in found if a < t]
+        second, wrong = best_threshold(rest)
+        options.append((above + wrong, t, second))
+    least = min(w for w, _, _ in options)
+    good = [t for w, t, _ in options if w == least]
+    first = good[len(good) // 2]
+    below = [x[0] for x in found if x[0] < first]
+    if np.isfinite(first) and len(good) == 1 and below:
+        first = (max(below) + STEPS[0] + first) / 2
+    return float(first), best_threshold([(b, toxic, n) for a, b, toxic, n in found if a < first])[0]
+
+
+def best_threshold(found: list[tuple[float, int, int]]) -> tuple[float, int]:
+    """(threshold, errors) with the fewest errors in (ratio, toxic, count), in the middle between two ratios; infinite where calling none toxic is as good."""
     by: dict[float, list[int]] = {}
     for s, t, n in found:
         by.setdefault(s, [0, 0])[t] += n
     scores = sorted(by)
-    wrong, most = sum(n for _, t, n in found if not t), None  # all called toxic
-    options = []
+    none = sum(by[s][1] for s in scores)
+    wrong = sum(by[s][0] for s in scores)  # all called toxic
+    options = [(none, float("inf"))]
     for i, s in enumerate(scores):
-        options.append((wrong, s if i == 0 else (scores[i - 1] + STEP + s) / 2))
+        if s > 0:
+            options.append((wrong, (scores[i - 1] + STEPS[1] + s) / 2 if i else s))
         wrong += by[s][1] - by[s][0]
-    most = min(w for w, _ in options)
-    return float([x for w, x in options if w == most][-1])
+    least = min(w for w, _ in options)
+    good = sorted(t for w, t in options if w == least)
+    return good[-1], least
 
 
 def scorer(model: Model, docs: DataFrame):
@@ -253,7 +288,7 @@ def scorer(model: Model, docs: DataFrame):
 
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache: dict[int, float] = {}
+        cache: dict[int, tuple[float, float]] = {}
         for part in parts:
             part = part.fill_null("") if part.null_count else part
             batch = pa.RecordBatch.from_arrays([part], ["text"])
@@ -264,7 +299,7 @@ def scorer(model: Model, docs: DataFrame):
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, score): the documents with a score from the threshold on, which is at least 0.
+    """(doc_id, score): the documents with a score of at least 1, the larger of the two ratios over their thresholds.
 
     Null texts, empty ones and those without words score 0 and are not toxic; whole texts are scored; rows
     with a null id are left out, repeated rows repeat; with no labels of one kind, or an empty table, the
@@ -273,11 +308,11 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     model = fit(docs, labels, text, doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     scored = rows.select("doc_id", scorer(model, docs)("text").alias("score"))
-    return scored.where(F.col("score") >= F.lit(model.threshold))
+    return scored.where(F.col("score") >= 1)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the rows whose text is toxic; null texts stay. The columns are those of docs."""
     model = fit(docs, labels, text, doc_id)
     score = scorer(model, docs)(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return docs.where(score < F.lit(model.threshold))
+    return docs.where(score < 1)

@@ -157,12 +157,19 @@ def test_kneser_ney_sums_to_one():
 
 
 def test_toxicity_held_out(spark):
-    docs, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train = lab.where("doc_id % 2 = 0")
     found = {r["doc_id"] for r in toxicity.toxic_documents(docs, train).collect()}
     test = lab.where("doc_id % 2 = 1").collect()
     right = sum((r["doc_id"] in found) == bool(r["toxic"]) for r in test)
-    assert right / len(test) >= 0.95
+    assert right / len(test) >= 0.97
+
+
+def test_thresholds():
+    assert toxicity.best_threshold([(0.1, 0, 5), (0.9, 1, 3)])[1] == 0 and 0.1 < toxicity.best_threshold([(0.1, 0, 5), (0.9, 1, 3)])[0] <= 0.9
+    assert toxicity.best_threshold([(0.1, 0, 5)]) == (float("inf"), 0)
+    a, b = toxicity.best_thresholds([(0.2, 0.0, 0, 9), (3.0, 0.0, 1, 2), (0.2, 0.5, 1, 2)])
+    assert 0.2 < a <= 3.0 and 0 < b <= 0.5
 
 
 # -- mixing -------------------------------------------------------------------------------------------
