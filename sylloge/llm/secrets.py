@@ -114,7 +114,7 @@ def random_samples(n: int, seed: int = SEED) -> list[str]:
 
 
 def ordinary_samples(words: list[str], n: int, seed: int = SEED + 1) -> list[str]:
-    """Words alone and joined as identifiers, paths, numbers and dates."""
+    """Words alone and joined as identifiers, paths, numbers, dates and repeated characters."""
     rnd = random.Random(seed)
     words = [w for w in words if w.isalpha()] or _NAMES
     out = list(words[:n])
@@ -138,7 +138,7 @@ def ordinary_samples(words: list[str], n: int, seed: int = SEED + 1) -> list[str
         elif style == 6:
             out.append("".join(map(str.capitalize, w)) + rnd.choice(["", str(rnd.randint(1, 99))]))
         else:
-            out.append(rnd.choice([str(rnd.randint(0, 10**18)), f"{rnd.randint(1990, 2030)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}", "-" * rnd.randint(8, 40), "_" * rnd.randint(8, 40), "=" * 20]))
+            out.append(rnd.choice([str(rnd.randint(0, 10**18)), f"{rnd.randint(1990, 2030)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}", rnd.choice(CHARS) * rnd.randint(8, 40)]))
     return out
 
 
