@@ -22,9 +22,11 @@ from .tokens import _WORD, chunks, mixed, split
 K = 50
 #: Words of the runs that minimisers are taken from.
 M = 6
-#: Bytes of packed strings of a task, about, and how many bytes of them a byte of text gives.
-TASK_BYTES = 12 << 20
+#: Bytes of packed strings of a task, about, before compression, and how many of them a byte of text gives.
+TASK_BYTES = 6 << 20
 PACKED = 3.3
+#: Beginnings of texts from which the compression's dictionary is trained: how many, about, how long, and the dictionary's bytes.
+DICTIONARY_TEXTS, DICTIONARY_CHARS, DICTIONARY_BYTES = 2_000, 2_000, 112 << 10
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -70,15 +72,36 @@ def super_kmers(texts: pa.Array, k: int, m: int):
     return doc, least[first].view(np.int64), word, chars[w.starts[first]] - chars[lines[doc]], packed
 
 
-def _partition(k: int, m: int):
+def dictionary(texts: list[str]) -> bytes:
+    """A dictionary for strings like these; b"" if there are too few. Only the size of what is sent depends on it."""
+    import zstandard
+
+    samples = [t[i : i + 400].lower().encode() for t in texts for i in range(0, len(t), 400)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def _codec(trained: bytes):
+    """(compress, decompress) of short strings."""
+    import zstandard
+
+    d = zstandard.ZstdCompressionDict(trained) if trained else None
+    packer = zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_dict_id=False)
+    return packer.compress, zstandard.ZstdDecompressor(dict_data=d).decompress
+
+
+def _partition(k: int, m: int, trained):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = _codec(trained.value)[0]
         for batch in chunks(batches):
             found = super_kmers(batch["text"], k, m)
             if found:
                 doc, key, word, at, packed = found
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), batch["id"].take(take), batch["same"].take(take), pa.array(word.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(packed, pa.binary())],
+                    [pa.array(key), batch["id"].take(take), batch["same"].take(take), pa.array(word.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(list(map(pack, packed)), pa.binary())],
                     ["key", "id", "same", "word", "at", "packed"],
                 )
 
@@ -102,12 +125,11 @@ def _exact_groups(ids: np.ndarray, at: np.ndarray, group: np.ndarray, k: int) ->
     return out
 
 
-def repeated_windows(table: pa.Table, k: int):
+def repeated_windows(table: pa.Table, packed: list[bytes], k: int):
     """(row, first window, last window, first character, end, whether first) of runs of repeated windows.
 
-    table: packed strings with their place, no two rows of one place.
+    table: the places of packed strings, no two rows of one place.
     """
-    packed = table["packed"].to_pylist()
     buf = np.frombuffer(b"\n".join(packed) + b"\n", dtype=np.uint8)
     is_word = np.zeros(len(buf) + 1, dtype=np.int8)
     is_word[1:] = _WORD[buf]
@@ -155,8 +177,9 @@ _COLUMNS = ["key", "id", "same", "word", "at", "packed"]
 _SCHEMA = pa.schema([*((c, pa.int64()) for c in _COLUMNS[:3]), ("word", pa.int32()), ("at", pa.int32()), ("packed", pa.binary())])
 
 
-def _count(k: int):
+def _count(k: int, trained):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _codec(trained.value)[1]
         table = pa.Table.from_batches(list(batches), _SCHEMA)
         place = np.stack([table[c].to_numpy() for c in ("id", "same", "word")])
         order = np.lexsort(place)
@@ -164,7 +187,7 @@ def _count(k: int):
         new = np.ones(len(order), dtype=bool)
         new[1:] = (place[:, 1:] != place[:, :-1]).any(axis=0)
         table = table.take(pa.array(order[new])) if not new.all() else table
-        found = repeated_windows(table, k) if len(table) else None
+        found = repeated_windows(table, list(map(unpack, table["packed"].to_pylist())), k) if len(table) else None
         if found:
             r, a, b, start, end, first = found
             take = pa.array(r)
@@ -188,10 +211,13 @@ def repeated_passages(docs: DataFrame, k: int = K, text: str = "text", doc_id: s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = rows.withColumn("same", F.xxhash64("text")).mapInArrow(_partition(k, min(M, k)), "key long, id long, same long, word int, at int, packed binary")
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // DICTIONARY_TEXTS))) == 0)
+    some = some.select(F.substring("text", 1, DICTIONARY_CHARS).alias("t")).limit(2 * DICTIONARY_TEXTS)
+    trained = spark.sparkContext.broadcast(dictionary([r["t"] for r in some.collect()]))
+    sent = rows.withColumn("same", F.xxhash64("text")).mapInArrow(_partition(k, min(M, k), trained), "key long, id long, same long, word int, at int, packed binary")
     sent = sent.repartition(spread(spark, size * PACKED, TASK_BYTES), "key")
-    spans = sent.mapInArrow(_count(k), "doc_id long, same long, a int, b int, start int, end int, first boolean")
+    spans = sent.mapInArrow(_count(k, trained), "doc_id long, same long, a int, b int, start int, end int, first boolean")
     own = Window.partitionBy("doc_id", "same", "first").orderBy("a", "b")
     before = F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.when(F.col("a") <= before + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
