@@ -187,6 +187,9 @@ def at_and_dot(text: str) -> Edits:
         domain = _DOMAIN_AT.match(text, m.end())
         if not domain or m.start() < done:
             continue
+        further = _AT.match(text, domain.end())
+        if further and _DOMAIN_AT.match(text, further.end()):
+            continue  # what looks like the domain is the name before the next sign
         local = _LOCAL_END.search(text, max(done, m.start() - 120), m.start())
         if not local:
             continue
