@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import REDACTED, nearly
 from ..functions.text import redact as redact_text
 from ..functions.vectors import cosine
-from ..operators import graphs, policy, reasoning, retrieval, topology
+from ..operators import graphs, policy, reasoning, recall, retrieval, topology
 from ..sources import files, journal
 from .engine import Engine
 from .registry import add, warehouse
@@ -268,6 +268,34 @@ def recency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.recency_topk(table(spark, sf_dir, "events"), ["user_id"], "ts", 3, "event_id").select("user_id", "event_id", "ts")
 
 
+@add("rerank_topk", """WITH c AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, (100 - abs(q.vec_id - d.vec_id)) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(q.vec_id - d.vec_id), d.vec_id) AS r, q.embedding AS a, d.embedding AS b
+        FROM embeddings q, embeddings d WHERE q.vec_id < 20 AND q.vec_id <> d.vec_id AND abs(q.vec_id - d.vec_id) <= 10), s AS (SELECT query_id, doc_id, round(list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 6) AS similarity FROM c)
+    SELECT query_id, doc_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) <= 5""")
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical candidates are stand-ins: the vectors of the nearest numbers."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "embeddings")
+    q, d = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    far = F.abs(F.col("query_id") - F.col("doc_id"))
+    c = q.drop("vector").join(d.drop("vector"), (far > 0) & (far <= 10)).withColumn("score", (100 - far).cast("int"))
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    return retrieval.rerank(c, d, q, 5).select("query_id", "doc_id", "similarity")
+
+
+@add("missing_embeddings", "SELECT DISTINCT sha256('m' || chr(0) || text) AS key FROM conversations WHERE role = 'user' AND text NOT IN (SELECT text FROM conversations WHERE role <> 'user')")
+def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    cache = c.where("role <> 'user'").select(F.sha2(F.concat(F.lit("m\0"), F.col("text")), 256).alias("key"))
+    return retrieval.missing_embeddings(c.where("role = 'user'"), cache, "m").select("key")
+
+
+@add("schema_summary", """SELECT 'nation' AS predicate, fact FROM (SELECT '["' || n_nationkey || '","' || n_name || '","' || n_regionkey || '"]' AS fact FROM nation ORDER BY 1 LIMIT 3)
+    UNION ALL SELECT 'region', fact FROM (SELECT '["' || r_regionkey || '","' || r_name || '"]' AS fact FROM region ORDER BY 1 LIMIT 3)""")
+def schema_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.schema_summary(warehouse(spark, sf_dir, ("nation", "region"))).select("predicate", "fact")
+
+
 # -- graphs ---------------------------------------------------------------------------------------------
 
 
