@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 IRREGULAR = {"are": "be", "been": "be", "is": "be", "was": "be", "were": "be", "children": "child", "grandchildren": "grandchild", "had": "have", "has": "have"}
 #: Words that searches leave out.
-STOP = ("a", "an", "and", "any", "are", "at", "be", "by", "did", "do", "does", "find", "for", "from", "have", "how", "i", "in", "it", "me", "my", "of", "on", "or", "show", "tell", "that", "the", "to", "what", "when", "where", "which", "who", "whom", "whose", "with", "you", "your")
+STOP = tuple(
+    "i me my we our ours you your he him his she her hers it its they them their "
+    "be is are was were been do does did have has had who what which why how when where "
+    "the this that there a an to of on in at by for with from into or and but if so as".split()
+)
 FUZZY = (4, 64)
 
 
@@ -37,15 +41,20 @@ def nearly(a: Column, b: Column) -> Column:
     return sized(a) & sized(b) & (F.levenshtein(a, b, 1) >= 0)
 
 
-_NAME = r"(?:api[_ -]?key|password|passwd|secret|access[_ -]?token|refresh[_ -]?token|account[_ -]?number|credit[_ -]?card)"
+_SPELLED = {"password": "passwd", "secret": "", "api key": "", "access token": "", "refresh token": "", "credit card": "", "account number": ""}
+_ALL = [w.replace(" ", "[_ -]?") for pair in _SPELLED.items() for w in pair if w]
+#: Names of what is private, and of what is handed out.
+PRIVATE = "(?:" + "|".join(_ALL) + ")"
+HANDED = "(?:" + "|".join(w for w in _ALL if "number" not in w and "card" not in w) + ")"
 SENSITIVE = (
-    rf"(?i)\b{_NAME}\b[\"']?\s*(?:is|=|:)\s*[\"']?\S+",
-    rf"(?i)\b{_NAME}\s*\(",
-    r"(?i)\b(?:my|your|the)\s+(?:api[_ -]?key|password|passwd|secret|(?:access|refresh)[_ -]?token)\s+(?=\S*[0-9._~+/=-])\S{6,}",
-    r"(?i)\bbearer\s+[a-z0-9._~+/=-]{8,}",
-    r"(?i)\b(?:sk|gh[pousr])[-_][a-z0-9_-]{8,}",
+    rf"(?i)\b{PRIVATE}\b[\"']?\s*(?:=|:|is)\s*[\"']?\S+",
+    rf"(?i)\b{PRIVATE}\s*\(",
+    rf"(?i)\b(?:the|my|your)\s+{HANDED}\s+(?=\S*[-0-9._~+/=])\S{{6,}}",
+    r"(?i)\bbearer\s+[-a-z0-9._~+/=]{8,}",
+    r"(?i)\b(?:gh[porsu]|sk)[_-][-a-z0-9_]{8,}",
     r"\b(?:\d[ -]*){13,19}\b",
 )
+_ADVICE = ("advice", "suggest(?:ion)?s?", "recommend(?:ation)?s?", "ideas?", "tips", "choose", "decide", "looking for", "what should", "should i", "could there be (?:a )?reason")
 REDACTED = "[sensitive text redacted]"
 
 
@@ -59,3 +68,8 @@ def is_sensitive(text: Column) -> Column:
 def redact(text: Column) -> Column:
     """The text, or REDACTED in its place if it holds anything sensitive."""
     return F.when(is_sensitive(text), REDACTED).otherwise(text)
+
+
+def asks_for_advice(text: Column) -> Column:
+    """Whether a question wants a recommendation, for which vectors serve better than words."""
+    return text.rlike(rf"(?i)\b(?:{'|'.join(_ADVICE)})\b")

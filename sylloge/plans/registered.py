@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import REDACTED, nearly
+from ..functions.text import HANDED, REDACTED, SENSITIVE, nearly
 from ..functions.text import redact as redact_text
 from ..functions.vectors import cosine
 from ..operators import graphs, policy, reasoning, recall, retrieval, topology
@@ -242,10 +242,16 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sims.withColumn("r", F.row_number().over(order)).where("r <= 5").drop("r")
 
 
-@add("redact_sensitive", rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(?:api[_ -]?key|password|passwd|secret|access[_ -]?token|refresh[_ -]?token|account[_ -]?number|credit[_ -]?card)\b["'']?\s*(?:is|=|:)\s*["'']?\S+')
-    OR regexp_matches(text, '(?i)\b(?:api[_ -]?key|password|passwd|secret|access[_ -]?token|refresh[_ -]?token|account[_ -]?number|credit[_ -]?card)\s*\(')
-    OR regexp_matches(text, '(?i)\bbearer\s+[a-z0-9._~+/=-]{{8,}}') OR regexp_matches(text, '(?i)\b(?:sk|gh[pousr])[-_][a-z0-9_-]{{8,}}') OR regexp_matches(text, '\b(?:\d[ -]*){{13,19}}\b')
-    THEN '{REDACTED}' ELSE text END AS text FROM documents""")
+def _sensitive_sql(text: str) -> str:
+    """The same patterns for RE2, which has no look-ahead: there the pattern with one is taken apart."""
+    quoted = lambda p: p.replace("'", "''")
+    plain = [f"regexp_matches({text}, '{quoted(p)}')" for p in SENSITIVE if "(?=" not in p]
+    ahead = rf"(?i)\b(?:the|my|your)\s+{HANDED}\s+\S{{6,}}"
+    token = rf"len(list_filter(regexp_extract_all({text}, '{ahead}'), lambda m: regexp_matches(regexp_extract(m, '\S+$'), '[-0-9._~+/=]'))) > 0"
+    return " OR ".join([*plain, token])
+
+
+@add("redact_sensitive", f"SELECT doc_id, CASE WHEN {_sensitive_sql('text')} THEN '{REDACTED}' ELSE text END AS text FROM documents")
 def redact_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", redact_text(F.col("text")).alias("text"))
 

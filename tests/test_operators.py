@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from sylloge.functions.text import is_sensitive, words
+from sylloge.functions.text import asks_for_advice, is_sensitive, words
 from sylloge.operators import graphs, policy, reasoning, retrieval, topology
 from sylloge.plans.engine import Engine
 from sylloge.plans.local import LimitError
@@ -96,6 +96,8 @@ def test_topology(spark):
 def test_words(spark):
     got = spark.range(1).select(words(F.lit("worksAt the Cities, testing STARTED children's dogs is"))).first()[0]
     assert got == ["work", "at", "the", "city", "test", "start", "child", "s", "dogs", "be"]
+    asked = spark.createDataFrame([("any tips on tea?",), ("who is ann",)], "t string")
+    assert [r[0] for r in asked.select(asks_for_advice(F.col("t"))).collect()] == [True, False]
     texts = ["my password is hunter22", "nothing here", "Bearer abcdefgh1234", "4111 1111 1111 1111", "sk-abcdefgh1", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(is_sensitive(F.col("t"))).collect()] == [True, False, True, True, True, False]
