@@ -216,10 +216,10 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.document_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
-@add("clause_search", """SELECT * FROM (VALUES (1, 'worked_for(bob, acme).', 220), (2, 'works_at(ann, acme).', 220), (3, 'colleague(X, Y) :- works_at(X, C), works_at(Y, C), X != Y.', 90)) AS t(rank, clause, score)""")
+@add("clause_search", """SELECT * FROM (VALUES (1, 'worked_for(bob, acme).', 220), (2, 'works_at(ann, acme).', 220), (3, 'peer(A, B) :- works_at(A, F), works_at(B, F), A != B.', 90)) AS t(rank, clause, score)""")
 def clause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search takes clauses of a program, not tables."""
-    program = "works_at(ann, acme). worked_for(bob, acme). lives_in(ann, oslo). colleague(X,Y) :- works_at(X,C), works_at(Y,C), X != Y."
+    program = "works_at(ann, acme). worked_for(bob, acme). lives_in(ann, oslo). peer(A,B) :- works_at(A,F), works_at(B,F), A != B."
     return retrieval.search(retrieval.clause_table(spark, parse_program(program)), "who works at acme", 10).select("rank", "clause", "score")
 
 

@@ -168,7 +168,7 @@ recursion("reach_linear", "anc(X,Y)", "anc(X,Y) :- up(X,Y). anc(X,Z) :- up(X,Y),
     f'WITH RECURSIVE a AS ({_UP} UNION SELECT u.x, a.y FROM ({_UP}) u JOIN a ON u.y = a.x) SELECT x AS "X", y AS "Y" FROM a')
 recursion("reach_nonlinear", "anc(X,Y)", "anc(X,Y) :- up(X,Y). anc(X,Z) :- anc(X,Y), anc(Y,Z).",
     f'WITH RECURSIVE a AS ({_UP} UNION SELECT a.x, u.y FROM a JOIN ({_UP}) u ON u.x = a.y) SELECT x AS "X", y AS "Y" FROM a', 0)
-recursion("reach_cycle", "path(X,Y)", "edge(X,Y) :- nation(X,_,_), nation(Y,_,_), Y = X + 1. edge(24,0). path(X,Y) :- edge(X,Y). path(X,Z) :- path(X,Y), edge(Y,Z).",
+recursion("reach_cycle", "way(X,Y)", "arc(X,Y) :- nation(X,_,_), nation(Y,_,_), Y = X + 1. arc(24,0). way(X,Y) :- arc(X,Y). way(X,Z) :- way(X,Y), arc(Y,Z).",
     'SELECT a.n_nationkey::BIGINT AS "X", b.n_nationkey::BIGINT AS "Y" FROM nation a, nation b')
 recursion("reach_bound", "select Y where anc(100,Y)", "anc(X,Y) :- up(X,Y). anc(X,Z) :- up(X,Y), anc(Y,Z).",
     'WITH RECURSIVE a AS (SELECT 100::BIGINT AS x UNION SELECT x // 2 FROM a WHERE x > 0) SELECT x AS "Y" FROM a WHERE x < 100')

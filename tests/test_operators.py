@@ -29,14 +29,14 @@ def test_integrity(spark):
 
 
 def test_what_if(spark):
-    e = Engine(spark).load("edge(a,b). edge(b,c). path(X,Y) :- edge(X,Y). path(X,Z) :- path(X,Y), edge(Y,Z).")
-    c = policy.Change(assume=("edge(c,d)",), without=("edge(a,_)",))
-    got = {(r["X"], r["Y"]): r["change"] for r in policy.result_delta(e, policy.what_if(e, c), "path(X,Y)").collect()}
+    e = Engine(spark).load("arc(a,b). arc(b,c). way(X,Y) :- arc(X,Y). way(X,Z) :- way(X,Y), arc(Y,Z).")
+    c = policy.Change(assume=("arc(c,d)",), without=("arc(a,_)",))
+    got = {(r["X"], r["Y"]): r["change"] for r in policy.result_delta(e, policy.what_if(e, c), "way(X,Y)").collect()}
     assert got == {("a", "b"): "removed", ("a", "c"): "removed", ("b", "c"): "unchanged", ("c", "d"): "added", ("b", "d"): "added"}
-    other = policy.what_if(e, policy.Change(rules=("path(X,Y) :- edge(Y,X).",)))
-    assert {x["change"] for x in policy.evidence_delta(e, other, "path(X,Y)")} == {"added", "unchanged"}
+    other = policy.what_if(e, policy.Change(rules=("way(X,Y) :- arc(Y,X).",)))
+    assert {x["change"] for x in policy.evidence_delta(e, other, "way(X,Y)")} == {"added", "unchanged"}
     d = c.digest(e.program)
-    assert policy.apply_change(e, c, d).holds("path(c,d)")
+    assert policy.apply_change(e, c, d).holds("way(c,d)")
     with pytest.raises(DatalogError):
         policy.apply_change(other, c, d)
     with pytest.raises(DatalogError):
@@ -57,17 +57,17 @@ def test_checks(spark):
 
 
 def test_why_not_and_repair(spark):
-    e = Engine(spark).load("works_at(ann, acme). blocked(ann). ok(X) :- works_at(X, acme), \\+ blocked(X). senior(X) :- ok(X), age(X, A), A > 40. age(ann, 30). loop(X) :- loop(X). n(N) :- count(*) as N where age(_, _).")
+    e = Engine(spark).load("works_at(ann, volt). blocked(ann). ok(X) :- works_at(X, volt), \\+ blocked(X). senior(X) :- ok(X), age(X, A), A > 40. age(ann, 30). loop(X) :- loop(X). n(N) :- count(*) as N where age(_, _).")
     assert reasoning.why_not(e, "works_at(ann, X)") == []
     assert reasoning.summary(reasoning.why_not(e, "ok(ann)")) == ["negated_fact_present: \\+ blocked(ann)"]
-    assert reasoning.summary(reasoning.why_not(e, "ok(bob)")) == ["missing_fact: works_at(bob, acme)"]
+    assert reasoning.summary(reasoning.why_not(e, "ok(bob)")) == ["missing_fact: works_at(bob, volt)"]
     assert reasoning.summary(reasoning.why_not(e, "age(ann, A), A > 40")) == ["comparison_false: 30 > 40"]
     assert reasoning.summary(reasoning.why_not(e, "loop(a)")) == ["recursive_cycle: loop(a)"]
     assert reasoning.summary(reasoning.why_not(e, "n(5)")) == ["aggregate_result_mismatch: n(5)"]
     plans = reasoning.plan_repairs(e, "ok(ann)")
     assert plans == [reasoning.Repair((), ("blocked(ann)",), 1)] and reasoning.verified(e, "ok(ann)", plans[0]) == {"holds": True, "introduced": []}
-    assert reasoning.plan_repairs(e, "ok(bob)")[0].assume == ("works_at(bob, acme)",)
-    assert reasoning.plan_repairs(e, "works_at(ann, acme)") == []
+    assert reasoning.plan_repairs(e, "ok(bob)")[0].assume == ("works_at(bob, volt)",)
+    assert reasoning.plan_repairs(e, "works_at(ann, volt)") == []
 
 
 def test_graph_of_proofs(spark):
@@ -104,11 +104,11 @@ def test_words(spark):
 
 
 def test_search(spark):
-    clauses = retrieval.clause_table(spark, parse_program("works_at(ann, acme). lives_in(bob, oslo). boss(X) :- works_at(X, acme)."), {"works_at(ann, acme).": "Ann works at Acme"})
-    got = retrieval.search(clauses, "who works at acme").collect()
-    assert got[0]["clause"] == "works_at(ann, acme)." and [r["rank"] for r in got] == [1, 2] and got[0]["score"] == 120 + 60 + 2 * 45 + 2 * 20
+    clauses = retrieval.clause_table(spark, parse_program("works_at(ann, volt). lives_in(bob, oslo). boss(X) :- works_at(X, volt)."), {"works_at(ann, volt).": "Ann works at Volt"})
+    got = retrieval.search(clauses, "who works at volt").collect()
+    assert got[0]["clause"] == "works_at(ann, volt)." and [r["rank"] for r in got] == [1, 2] and got[0]["score"] == 120 + 60 + 2 * 45 + 2 * 20
     assert retrieval.search(clauses, "workz").collect()[0]["score"] == 30
-    assert retrieval.search_graph(retrieval.search(clauses, "acme")).count() > 3
+    assert retrieval.search_graph(retrieval.search(clauses, "volt")).count() > 3
     with pytest.raises(ValueError):
         retrieval.search(clauses, "the of")
     ranked = {r["predicate"]: r["score"] for r in retrieval.rank_predicates(clauses, "where does bob live").collect()}
@@ -127,16 +127,16 @@ def test_rerank(spark):
 
 
 def test_walks(spark):
-    e = Engine(spark).load("member(mira, chess). member(rahul, chess). works_at(mira, acme). works_at(rahul, acme). works_at(zed, other). likes(1, 2).")
+    e = Engine(spark).load("member(nora, chess). member(ines, chess). works_at(nora, volt). works_at(ines, volt). works_at(zed, other). likes(1, 2).")
     inc = graphs.incidences(e)
-    paths = graphs.shortest_paths(inc, "mira", "rahul")
+    paths = graphs.shortest_paths(inc, "nora", "ines")
     assert len(paths) == 2 and all(len(p) == 5 for p in paths)
-    assert graphs.shortest_paths(inc, "mira", "zed") == [] and graphs.shortest_paths(inc, "mira", "mira") == [["mira"]]
+    assert graphs.shortest_paths(inc, "nora", "zed") == [] and graphs.shortest_paths(inc, "nora", "nora") == [["nora"]]
     with pytest.raises(LimitError):
-        graphs.shortest_paths(inc, "mira", "rahul", most=1)
-    assert {r["claim"]: r["depth"] for r in graphs.neighbourhood(inc, "mira", 2).collect()} == {'["member","mira","chess"]': 1, '["works_at","mira","acme"]': 1, '["member","rahul","chess"]': 2, '["works_at","rahul","acme"]': 2}
+        graphs.shortest_paths(inc, "nora", "ines", most=1)
+    assert {r["claim"]: r["depth"] for r in graphs.neighbourhood(inc, "nora", 2).collect()} == {'["member","nora","chess"]': 1, '["works_at","nora","volt"]': 1, '["member","ines","chess"]': 2, '["works_at","ines","volt"]': 2}
     with pytest.raises(LimitError):
-        graphs.neighbourhood(inc, "mira", 2, most=3)
+        graphs.neighbourhood(inc, "nora", 2, most=3)
 
 
 def test_files(spark, tmp_path):
