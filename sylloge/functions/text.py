@@ -27,7 +27,7 @@ def stem(w: Column) -> Column:
 
 def words(text: Column) -> Column:
     """An array of words: camelCase split, lower case, letters and digits only, stemmed."""
-    flat = F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
+    flat = F.lower(F.regexp_replace(text, "(?<=[0-9a-z])(?=[A-Z])", " "))
     return F.transform(F.filter(F.split(flat, "[^a-z0-9]+"), lambda w: w != ""), stem)
 
 

@@ -10,13 +10,13 @@ from sylloge.plans.syntax import DatalogError, parse_program
 from sylloge.sources import files
 from pyspark.sql import functions as F
 
-POLICY = "status(ann, active). status(ann, terminated). status(bob, active). :- status(P, active), status(P, terminated)."
+POLICY = "role(ann, guest). role(ann, admin). role(bob, guest). :- role(P, admin), role(P, guest)."
 
 
 def test_integrity(spark):
     e = Engine(spark).load(POLICY)
     assert [json.loads(v["bindings"]) for v in policy.check_integrity(e)] == [{"P": "ann"}]
-    after = policy.what_if(e, policy.Change(assume=("status(bob, terminated)",)))
+    after = policy.what_if(e, policy.Change(assume=("role(bob, admin)",)))
     assert [r["change"] for r in policy.integrity_delta(e, after).collect()] == ["introduced"]
     with pytest.raises(policy.PolicyError):
         policy.enforce(e, after, "no_new_violations")
@@ -71,8 +71,8 @@ def test_why_not_and_repair(spark):
 
 
 def test_graph_of_proofs(spark):
-    e = Engine(spark).load(POLICY + " busy(X) :- status(X, active).")
-    g = reasoning.explanation_graph(e, "busy(X)", {"status(ann, active)": ["note 1"]})
+    e = Engine(spark).load(POLICY + " busy(X) :- role(X, guest).")
+    g = reasoning.explanation_graph(e, "busy(X)", {"role(ann, guest)": ["note 1"]})
     kinds = {k for k, _ in g.nodes.values()}
     assert {"result", "claim", "entity", "proof", "source", "conflict"} <= kinds
     start = next(i for i in g.nodes if i.startswith("result"))
