@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import fresh, written
 from .tokens import Words, chunks, split
 
 #: Characters of an n-gram, the last of which is predicted.
@@ -27,7 +27,7 @@ ORDER = 5
 DISCOUNT = 0.75
 #: One labelled document in so many, by the hash of its id, is held out for the threshold.
 HELD_OUT = 5
-#: N-grams a broadcast model may have; rarest ones are left out of a larger one, to be scored by their context.
+#: N-grams a broadcast model may have; a larger one stays in a table, whole, and words are scored by joins with it.
 MAX_NGRAMS = 8_000_000
 #: Labelled ids that may be broadcast (64 MB), so that texts stay where they are; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
@@ -206,13 +206,104 @@ def kneser_ney(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Mod
     return Model(keys, (logs[1] - logs[0]).astype(np.float32), context, (backs[1] - backs[0]).astype(np.float32))
 
 
-def _kept(keys, ordinary, toxic):
-    """The n-grams of the largest counts, all of a count or none, that fit MAX_NGRAMS."""
-    total, least = ordinary + toxic, 1
-    while (total >= least).sum() > MAX_NGRAMS:
-        least += 1
-    keep = total >= least
-    return keys[keep], ordinary[keep], toxic[keep]
+@dataclass
+class Table:
+    """The same ratios as those of Model, in tables: of any size."""
+
+    grams: DataFrame  # gram, ratio
+    contexts: DataFrame  # context, context_ratio
+    thresholds: tuple[float, float] = (np.inf, np.inf)
+
+    def words(self, texts: DataFrame) -> DataFrame:
+        """(h, ratio, excess) of the distinct words of texts(text), by their hash, as Model.words gives them."""
+        words = texts.select("text").mapInArrow(_distinct, "h long, word string").groupBy("h").agg(F.min("word").alias("word"))
+        parts = words.mapInArrow(_parts, "h long, gram long, context long, size long")
+        found = parts.join(self.grams, "gram", "left").join(self.contexts, "context", "left")
+        value = F.coalesce(F.col("ratio"), F.col("context_ratio"), F.lit(0.0)).cast("double")
+        total = found.groupBy("h").agg(F.sum(value).alias("total"), F.max("size").alias("size"))
+        return total.select("h", (F.col("total") / F.col("size")).alias("ratio"), F.greatest(F.col("total") - MARGIN, F.lit(0.0)).alias("excess"))
+
+    def ratios_of(self, texts: DataFrame, telling: bool = False) -> DataFrame:
+        """(k1, k2, a, b): the two ratios of the texts with words in texts(k1, k2, text), once for each text.
+
+        telling: only of texts that have a word with a ratio above 0, which is enough to find toxic ones.
+        """
+        words = self.words(texts)
+        words = words.where("ratio > 0") if telling else words
+        uses = texts.select("k1", "k2", "text").mapInArrow(_uses, "k1 long, k2 long, h long, n long, words long")
+        each = uses.dropDuplicates(["k1", "k2", "h"]).join(words, "h")
+        second = F.sum(F.col("excess") * F.col("n")) / (F.max("words") + LENGTH)
+        return each.groupBy("k1", "k2").agg(F.max("ratio").alias("a"), second.alias("b"))
+
+    def toxic(self, texts: DataFrame) -> DataFrame:
+        """(k1, k2, score) of the toxic texts."""
+        share = [F.col(c) / F.lit(float(t)) for c, t in zip("ab", self.thresholds)]
+        return self.ratios_of(texts, telling=True).select("k1", "k2", F.greatest(*share).alias("score")).where("score >= 1")
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        w = split(batch["text"])
+        at, distinct, which = letters(w)
+        if distinct:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(w.hashes[at]).view(np.int64)), pa.array(distinct, pa.string())], ["h", "word"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each word, one row for each occurrence."""
+    for batch in chunks(batches, "word"):
+        g = grams(batch["word"].to_pylist())
+        h = batch["h"].to_numpy()[g.word]
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g.keys), pa.array(g.keys >> _BITS), pa.array(g.length[g.word])], ["h", "gram", "context", "size"])
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each text, how often it has them, and its number of words."""
+    for batch in chunks(batches):
+        w = split(batch["text"])
+        at, distinct, which = letters(w)
+        if not distinct:
+            continue
+        hashes, doc = np.unique(w.hashes[at]).view(np.int64), w.doc[at]
+        pair, n = np.unique(doc * len(hashes) + which, return_counts=True)
+        own = pair // len(hashes)
+        k1, k2 = (batch[c].to_numpy()[own] for c in ("k1", "k2"))
+        columns = [k1, k2, hashes[pair % len(hashes)], n, np.bincount(doc, minlength=batch.num_rows)[own]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "h", "n", "words"])
+
+
+def kneser_ney_table(counted: DataFrame) -> Table:
+    """kneser_ney() by joins, of counted(gram, ordinary, toxic) with distinct grams.
+
+    N-grams of one context differ in the last symbol only, so no window has more than 2**_BITS rows.
+    """
+    tail = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << _BITS * k) - 1))
+    tails = {ORDER: counted.select(F.col("gram").alias("g"))}
+    for k in range(ORDER - 1, 0, -1):
+        tails[k] = tails[k + 1].groupBy(tail("g", k).alias("g")).agg(F.count("*").alias("n"))
+    lower = None
+    for k in range(1, ORDER):
+        by = Window.partitionBy(F.shiftright("g", _BITS))
+        t = tails[k].select("g", "n", F.sum("n").over(by).alias("total"), F.count("*").over(by).alias("kinds"), tail("g", k - 1).alias("tail"))
+        t = t.withColumn("below", F.lit(1 / (1 << _BITS))) if lower is None else t.join(lower, "tail")
+        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total")
+        lower = t.select(F.col("g").alias("tail"), p.alias("below"))
+    by = Window.partitionBy("context")
+    rows = counted.withColumn("tail", tail("gram", ORDER - 1)).join(lower, "tail").withColumn("context", F.shiftright("gram", _BITS))
+    logs, backs = [], []
+    for c in ("ordinary", "toxic"):
+        total, kinds = F.sum(c).over(by), F.sum((F.col(c) > 0).cast("int")).over(by)
+        weight = F.when(total > 0, DISCOUNT * kinds / F.greatest(total, F.lit(1))).otherwise(1.0)
+        backs.append(F.log(weight))
+        logs.append(F.log(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1)) + weight * F.col("below")))
+    rows = rows.select("context", "gram", (logs[1] - logs[0]).cast("float").alias("ratio"), (backs[1] - backs[0]).cast("float").alias("context_ratio"))
+    rows = written(rows, "toxicity-ratios")
+    return Table(rows.select("gram", "ratio"), rows.groupBy("context").agg(F.first("context_ratio").alias("context_ratio")))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -224,16 +315,30 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str) -> Data
     return own.join(marks, "id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
+def _bins(table: Table, rows: DataFrame) -> list[tuple[float, float, int, int]]:
+    """(ratio, ratio, toxic, count) of rows(text, toxic), the ratios in whole steps."""
+    rows = rows.select(*text_keys(F.col("text")), "text", "toxic")
+    ratios = rows.drop("text").join(table.ratios_of(rows), ["k1", "k2"], "left")
+    bins = [F.floor(F.coalesce(F.col(c), F.lit(0.0)) / step).alias(c) for c, step in zip("ab", STEPS)]
+    found = ratios.select(*bins, "toxic").groupBy("a", "b", "toxic").count().collect()
+    return [(r["a"] * STEPS[0], r["b"] * STEPS[1], r["toxic"], r["count"]) for r in found]
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model | Table:
     """The model of all labelled documents of docs; without labels of both kinds nothing is toxic."""
     rows = labelled(docs, labels, text, doc_id)
     held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
     counted = rows.where(~held).select("text", "toxic").mapInArrow(_count, "gram long, ordinary long, toxic long")
-    counted = counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow().sort_by("gram")
-    keys, ordinary, toxic = (counted[c].to_numpy() for c in ("gram", "ordinary", "toxic"))
-    if not ordinary.any() or not toxic.any():
+    counted = written(counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-counts")
+    n, *sums = counted.agg(F.count("*"), F.sum("ordinary"), F.sum("toxic")).first()
+    if not all(sums):
         return Model(*(np.empty(0, dtype=t) for t in (np.int64, np.float32, np.int64, np.float32)))
-    model = kneser_ney(*_kept(keys, ordinary, toxic))
+    if n > MAX_NGRAMS:
+        table = kneser_ney_table(counted)
+        table.thresholds = best_thresholds(_bins(table, rows.where(held)))
+        return table
+    counted = counted.toArrow().sort_by("gram")
+    model = kneser_ney(*(counted[c].to_numpy() for c in ("gram", "ordinary", "toxic")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +412,9 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     """
     model = fit(docs, labels, text, doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    if isinstance(model, Table):
+        keyed = rows.select("doc_id", *text_keys(F.col("text")), "text")
+        return keyed.drop("text").join(model.toxic(keyed), ["k1", "k2"]).select("doc_id", "score")
     scored = rows.select("doc_id", scorer(model, docs)("text").alias("score"))
     return scored.where(F.col("score") >= 1)
 
@@ -314,5 +422,11 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
 def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the rows whose text is toxic; null texts stay. The columns are those of docs."""
     model = fit(docs, labels, text, doc_id)
+    if isinstance(model, Table):
+        own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        gone = model.toxic(docs.select(*text_keys(own), own.alias("text"))).drop("score")
+        names = [fresh(docs, "toxic_k1"), fresh(docs, "toxic_k2")]
+        keyed = docs.select("*", *(k.alias(n) for k, n in zip(text_keys(own), names)))
+        return keyed.join(gone.toDF(*names), names, "left_anti").select(*docs.columns)
     score = scorer(model, docs)(F.coalesce(F.col(text).cast("string"), F.lit("")))
     return docs.where(score < 1)
