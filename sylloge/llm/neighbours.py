@@ -111,7 +111,7 @@ def _moments(size: int):
 
 
 class Best:
-    """The k most similar of what was shown, for each of some vectors."""
+    """The k most similar ids of what was shown, for each of some vectors; an id with several vectors counts by the most similar."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
         self.ids, self.v, self.k = ids, v, k
@@ -128,6 +128,9 @@ class Best:
 
     def _tile(self, own: slice, ids: np.ndarray, v: np.ndarray) -> None:
         s = self.v[own] @ v.T
+        begins = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        if len(begins) < len(ids):
+            s, ids = np.maximum.reduceat(s, begins, axis=1), ids[begins]
         mine = self.ids[own]
         lo, hi = np.searchsorted(ids, mine, "left"), np.searchsorted(ids, mine, "right")
         for r in np.flatnonzero(hi > lo).tolist():
@@ -143,11 +146,13 @@ class Best:
         row = np.concatenate([old, r])
         sim = np.concatenate([self.sims[own][hit].reshape(-1), s[r, c]])
         near = np.concatenate([self.near[own][hit].reshape(-1), ids[c]])
-        by = np.lexsort((near, -sim, row))
+        by = np.lexsort((-sim, near, row))
         row, sim, near = row[by], sim[by], near[by]
-        again = np.zeros(len(row), dtype=bool)  # rows of one id and vector
-        again[1:] = (row[1:] == row[:-1]) & (near[1:] == near[:-1]) & (near[1:] >= 0)
+        again = np.zeros(len(row), dtype=bool)  # ids that were shown before or come in several tiles; free places are left
+        again[1:] = (row[1:] == row[:-1]) & (near[1:] == near[:-1]) & (sim[1:] > -np.inf)
         row, sim, near = row[~again], sim[~again], near[~again]
+        by = np.lexsort((near, -sim, row))
+        row, sim, near = row[by], sim[by], near[by]
         start = np.flatnonzero(np.diff(row, prepend=-1))
         place = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
         keep = place < self.k
@@ -256,7 +261,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, vec_id: str = "v
     if not sizes:
         return spark.createDataFrame([], OUT + ", rank int")
     size = sizes[0]["size"]
-    base = written(rows.where(F.size("v") == size).mapInArrow(_normal(size), "id long, v binary"), "ann-vectors")
+    base = rows.where(F.size("v") == size).mapInArrow(_normal(size), "id long, v binary")
+    base = written(base.dropDuplicates(["id", "v"]), "ann-vectors")
     parts = base.mapInArrow(_moments(size), "n long, s array<double>, q double").collect()
     n = sum(r["n"] for r in parts)
     if not n:
@@ -268,7 +274,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, vec_id: str = "v
     sample_v = np.frombuffer(b"".join(sample["v"].to_pylist()), dtype=np.float32).reshape(-1, size)
     exact = base.mapInArrow(_sampled(sample["id"].to_numpy(), sample_v, k), OUT)
     by_sim = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id")
-    exact = exact.dropDuplicates(["vec_id", "neighbour_id"]).withColumn("r", F.row_number().over(by_sim)).where(F.col("r") <= k)
+    exact = exact.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity")).withColumn("r", F.row_number().over(by_sim)).where(F.col("r") <= k)
     pairs = [(r["vec_id"], r["neighbour_id"]) for r in exact.collect()]
 
     tasks = spread(spark, n * MOST_CURVES * (4 * size + 24), 16 << 20)

@@ -1,8 +1,9 @@
 """The whole job where a cut, a rule or an order once left a part out."""
 
+import numpy as np
 import pytest
 
-from sylloge.llm import toxicity
+from sylloge.llm import neighbours, toxicity
 from sylloge.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -22,3 +23,20 @@ def test_toxicity_of_a_model_too_large_to_broadcast(spark, monkeypatch):
     assert got == pytest.approx(want, abs=1e-5)
     out = toxicity.remove_toxic(docs, marks)
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == left
+
+
+@pytest.mark.parametrize("kind", ["copies", "several vectors of an id"])
+def test_neighbours_where_rows_repeat(spark, kind):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((300, 16)), 10, axis=0)
+    if kind != "copies":
+        x += 0.1 * rng.standard_normal(x.shape)
+    ids = np.repeat(np.arange(300), 10)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest_neighbours(df, 10).toPandas()
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = (v @ v.T).reshape(300, 10, 300, 10).max(axis=(1, 3))
+    np.fill_diagonal(s, -9)
+    least = np.sort(s, axis=1)[:, -10]
+    assert len(got) == 3000 and not got.duplicated(["vec_id", "neighbour_id"]).any()
+    assert (s[got.vec_id, got.neighbour_id] >= least[got.vec_id] - 1e-5).mean() >= 0.9
