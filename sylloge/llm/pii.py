@@ -188,8 +188,9 @@ def at_and_dot(text: str) -> Edits:
         if not domain or m.start() < done:
             continue
         further = _AT.match(text, domain.end())
-        if further and _DOMAIN_AT.match(text, further.end()):
-            continue  # what looks like the domain is the name before the next sign
+        host = m["bare"] and further and _DOMAIN_AT.match(text, further.end())
+        if host and re.fullmatch(r"[A-Za-z]{2,24}", _DOT.split(host.group())[-1]) and (not further["bare"] or any(d.group() != "." for d in _DOT.finditer(host.group()))):
+            continue  # what looks like the domain is the name before the next sign, which is the plainer one
         local = _LOCAL_END.search(text, max(done, m.start() - 120), m.start())
         if not local:
             continue

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sylloge.llm import neighbours, toxicity
+from sylloge.llm import neighbours, pii, toxicity
 from sylloge.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -40,3 +40,14 @@ def test_neighbours_where_rows_repeat(spark, kind):
     least = np.sort(s, axis=1)[:, -10]
     assert len(got) == 3000 and not got.duplicated(["vec_id", "neighbour_id"]).any()
     assert (s[got.vec_id, got.neighbour_id] >= least[got.vec_id] - 1e-5).mean() >= 0.9
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("write to jane [at] example [dot] com at 5.30", ["jane@example.com"]),
+    ("jane.doe (at) example.org at www.site.org", ["jane.doe@example.org"]),
+    ("jane at example dot com at www.site.org", ["jane@example.com"]),
+    ("reach me at jane.doe (at) example.org", ["jane.doe@example.org"]),
+    ("reach me at jane dot doe at example dot com", ["jane.doe@example.com"]),
+])
+def test_pii_with_a_second_sign(text, found):
+    assert [x[3] for x in pii.scan(text) if x[0] == "email"] == found
