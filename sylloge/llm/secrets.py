@@ -67,7 +67,9 @@ _CODE = np.full(65536, _KINDS - 1, dtype=np.int64)
 for _i, _c in enumerate(CHARS):
     _CODE[ord(_c)] = _i + 1
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9][A-Za-z0-9+/_-]{%d,}={0,2}" % (LENGTH - 1))
+#: Every longest run of the characters of tokens, without the signs that it begins with.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[+/_-]*+([A-Za-z0-9][A-Za-z0-9+/_-]{%d,}={0,2})" % (LENGTH - 1))
+_PIECE = re.compile(r"(?<![^/])[+_-]*+([A-Za-z0-9][A-Za-z0-9+_-]{%d,}={0,2})" % (LENGTH - 1))
 _NAMED = re.compile(
     r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|credential)s?"
     r"[\"']?\s*(?:=>|:=|=|:)\s*[\"'`]?([^\s\"'`,;<>(){}\[\]]{%d,})" % NAMED_LENGTH,
@@ -174,7 +176,7 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
     named = [(m.start(1), m.end(1), True) for m in _NAMED.finditer(text)] if _NAME_SIGN.search(text) else []
     out, k = list(named), 0
     for m in _TOKEN.finditer(text):
-        a, b = m.span()
+        a, b = m.span(1)
         while k < len(named) and named[k][1] <= a:
             k += 1
         if k == len(named) or b <= named[k][0]:
@@ -182,25 +184,34 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
     return sorted(out)
 
 
+def within(text: str, a: int, b: int, named: bool) -> list[tuple[int, int, bool]]:
+    """What to score of a candidate that is no secret as a whole: the runs of a named one, the parts between slashes of a run."""
+    if named:
+        return [(a + m.start(1), a + m.end(1), False) for m in _TOKEN.finditer(text[a:b])]
+    return [(a + m.start(1), a + m.end(1), False) for m in _PIECE.finditer(text[a:b])] if "/" in text[a:b] else []
+
+
 def find_secrets(docs: DataFrame, labels: DataFrame, model: Model | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, start, end, named, score): every token that is rather a random string than an identifier.
 
     start and end count characters of the text from 0, end excluded; the secret itself is not copied. named
     says that a name such as "password" stands before it. Whole texts are scanned, and long tokens scored
-    whole. Null and empty texts have none; rows with a null id keep it, repeated rows repeat; an empty table
+    whole; of a token that is no secret so, the parts between slashes are scored too. Null and empty texts have none; rows with a null id keep it, repeated rows repeat; an empty table
     gives an empty result. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, text, doc_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found, tokens = [], []
-            for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                for a, b, named in candidates(t) if t else ():
-                    found.append((i, a, b, named))
-                    tokens.append(t[a:b])
-            scores = shared.value.score(tokens)
-            keep = [(*f, s) for f, s in zip(found, scores.tolist()) if s >= (NAMED_THRESHOLD if f[3] else THRESHOLD)]
+            texts, keep = batch["text"].to_pylist(), []
+            todo = [(i, *x) for i, t in enumerate(texts) if t for x in candidates(t)]
+            while todo:
+                scores = shared.value.score([texts[i][a:b] for i, a, b, _ in todo]).tolist()
+                secret = [s >= (NAMED_THRESHOLD if x[3] else THRESHOLD) for x, s in zip(todo, scores)]
+                keep += [(*x, s) for x, s, yes in zip(todo, scores, secret) if yes]
+                todo = [(x[0], *y) for x, yes in zip(todo, secret) if not yes for y in within(texts[x[0]], *x[1:]) if x[3] or y[:2] != x[1:3]]
+            ids = batch["doc_id"].to_pylist()
+            keep = [(ids[x[0]], *x[1:]) for x in sorted(keep)]
             columns = list(zip(*keep)) if keep else [[]] * 5
             types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "start", "end", "named", "score"])

@@ -1,10 +1,13 @@
 """The whole job where a cut, a rule or an order once left a part out."""
 
+import random
+
 import numpy as np
 import pytest
 
-from sylloge.llm import neighbours, pii, toxicity
+from sylloge.llm import neighbours, pii, secrets, toxicity
 from sylloge.llm.common import table
+from tests.llm.data import documents
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,3 +54,16 @@ def test_neighbours_where_rows_repeat(spark, kind):
 ])
 def test_pii_with_a_second_sign(text, found):
     assert [x[3] for x in pii.scan(text) if x[0] == "email"] == found
+
+
+def test_secrets_after_signs(spark):
+    rnd = random.Random(3)
+    keys = ["".join(rnd.choices(secrets.ALPHABETS["base62"], k=36)) for _ in range(5)]
+    before = ["https://", "value /", "value +", "flag -", "documentation/information/configuration/installation/"]
+    texts = [f"{b}{k} here" for b, k in zip(before, keys)]
+    words = "documentation information configuration installation environment application value flag here".split()
+    model = secrets.Model(secrets.chain(secrets.random_samples(4000)) - secrets.chain(secrets.ordinary_samples(words, 4000)))
+    rows = secrets.find_secrets(documents(spark, texts), None, model).collect()
+    assert {r["doc_id"] for r in rows} == set(range(5)) and all(texts[r["doc_id"]][r["start"] : r["end"]].endswith(keys[r["doc_id"]]) for r in rows)
+    assert secrets.candidates("--" + "documentation-information") == [(2, 27, False)]
+    assert len(secrets.within("x" * 20 + "/" + keys[0], 0, 57, False)) == 2
