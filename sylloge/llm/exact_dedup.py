@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, without, written
+from .common import fresh, parallelism, written
 
 #: Entries a bucket holds before it is split.
 CAPACITY = 4096
@@ -109,21 +109,9 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held.append_column("crowded", pa.array([held_crowded]))
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, kept_doc_id) for every document whose text equals that of a document with a smaller id.
-
-    The index holds keys and ids only. Texts are fetched, and compared, for the keys that more than one
-    document has. Null texts and null ids take no part; empty texts are texts like any other, so all but
-    the first empty document are copies. Rows that repeat a document's id and text count once; an id with
-    several texts takes part with each. An empty table gives an empty result. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    rows = (
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        .where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .withColumn("key", F.xxhash64("text"))
-    )
-    keys = rows.select("key", "doc_id")
+def _shared(keys: DataFrame, capacity: int):
+    """(the keys that several rows of keys(key, doc_id) have, ready to join; located: sends rows to the owners of their buckets)."""
+    spark = keys.sparkSession
     prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
     counts = {r[0]: r[1] for r in keys.groupBy(prefix.alias("p")).count().collect()}
     depth, directory = build_directory(counts, MAX_DEPTH, capacity)
@@ -147,10 +135,37 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, text: str = "tex
     shared = index.where("crowded").select("key").distinct()
     if shared.count() <= BROADCAST_KEYS:
         shared = F.broadcast(shared)
+    return shared, located
+
+
+def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, kept_doc_id) for every document whose text equals that of a document with a smaller id.
+
+    The index holds keys and ids only. Texts are fetched, and compared, for the keys that more than one
+    document has. Null texts and null ids take no part; empty texts are texts like any other, so all but
+    the first empty document are copies. Rows that repeat a document's id and text count once; an id with
+    several texts takes part with each. An empty table gives an empty result. Other columns are ignored.
+    """
+    rows = (
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        .where("doc_id IS NOT NULL AND text IS NOT NULL")
+        .withColumn("key", F.xxhash64("text"))
+    )
+    shared, located = _shared(rows.select("key", "doc_id"), capacity)
     compared = located(rows.join(shared, "key", "left_semi").select("key", "doc_id", "text"))
     return compared.mapInArrow(_chains, PAIRS)
 
 
 def remove_exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """docs without the rows that exact_duplicates() names; rows with a null id or text stay."""
-    return without(docs, exact_duplicates(docs, capacity).select("doc_id").distinct())
+    """docs with one row of each text, one of the smallest id; rows with a null id or text stay.
+
+    Rows are removed by their own id and text: an id with several texts keeps those that no smaller id has.
+    """
+    key, place = fresh(docs, "text_key"), fresh(docs, "text_place")
+    own = F.col("text").cast("string")
+    keyed = docs.withColumn(key, F.when(F.col("doc_id").cast("long").isNotNull() & own.isNotNull(), F.xxhash64(own)))
+    shared = _shared(keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id")), capacity)[0]
+    shared = shared.withColumnRenamed("key", key)
+    first = Window.partitionBy(key, own).orderBy(F.col("doc_id").cast("long"))
+    kept = keyed.join(shared, key, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return keyed.join(shared, key, "left_anti").select(*docs.columns).unionByName(kept.select(*docs.columns))

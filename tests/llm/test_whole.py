@@ -5,9 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from sylloge.llm import neighbours, pii, secrets, toxicity
+from sylloge.llm import exact_dedup, neighbours, pii, secrets, toxicity
 from sylloge.llm.common import table
-from tests.llm.data import documents
+from tests.llm.data import SCHEMA, documents
 
 SF = "/root/testdata/sf0.01"
 
@@ -67,3 +67,10 @@ def test_secrets_after_signs(spark):
     assert {r["doc_id"] for r in rows} == set(range(5)) and all(texts[r["doc_id"]][r["start"] : r["end"]].endswith(keys[r["doc_id"]]) for r in rows)
     assert secrets.candidates("--" + "documentation-information") == [(2, 27, False)]
     assert len(secrets.within("x" * 20 + "/" + keys[0], 0, 57, False)) == 2
+
+
+def test_exact_copies_go_by_row(spark):
+    rows = [(1, "a"), (2, "a"), (2, "only here"), (3, "b"), (3, "b"), (None, "a"), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    left = [(r["doc_id"], r["text"]) for r in exact_dedup.remove_exact_duplicates(docs).collect()]
+    assert sorted(left, key=str) == sorted([(1, "a"), (2, "only here"), (3, "b"), (None, "a"), (4, None)], key=str)
