@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, spread
-from .tokens import _WORD, chunks, mixed, split
+from .tokens import chunks, mixed, split, word_places
 
 #: Words of a window: passages of at least so many words are found.
 K = 50
@@ -131,13 +131,13 @@ def repeated_windows(table: pa.Table, packed: list[bytes], k: int):
     table: the places of packed strings, no two rows of one place.
     """
     buf = np.frombuffer(b"\n".join(packed) + b"\n", dtype=np.uint8)
-    is_word = np.zeros(len(buf) + 1, dtype=np.int8)
-    is_word[1:] = _WORD[buf]
-    edge = np.diff(is_word, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = word_places(buf)
     offsets = np.cumsum([0, *(len(x) + 1 for x in packed)])
     owner = np.searchsorted(offsets, starts, "right") - 1
-    letters = buf[is_word[1:] == 1]
+    inside = np.zeros(len(buf) + 1, dtype=np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    letters = buf[np.cumsum(inside[:-1], dtype=np.int8) == 1]
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)), pa.py_buffer(letters)])
     ids = words.dictionary_encode().indices.to_numpy()
     windows = np.flatnonzero(owner[k - 1 :] == owner[: len(owner) - k + 1]) if len(owner) >= k else np.empty(0, dtype=np.int64)
@@ -202,8 +202,8 @@ def _count(k: int, trained):
 def repeated_passages(docs: DataFrame, k: int = K, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, start, end, first): the longest spans of each text all of whose windows of k words occur more than once.
 
-    start and end count characters from 0, end excluded. Words are runs of letters and digits without regard
-    to case, so punctuation and white space between them don't matter; windows count wherever they occur,
+    start and end count characters from 0, end excluded. Words are runs of letters, marks and digits without regard
+    to case, and single characters of scripts without spaces, so punctuation and white space between them don't matter; windows count wherever they occur,
     in one text or several. first marks occurrences with the smallest (id, hash of the text, place); the others
     are copies. Null ids and texts take no part, and texts of fewer words have no windows. Rows that repeat an id and
     its text count once; an id with several texts is listed for each. An empty table gives an empty result.

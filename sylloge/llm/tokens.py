@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,10 +13,19 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once, whole documents; a longer document is handled alone.
 CHUNK = 1 << 20
 
-_WORD = np.zeros(256, dtype=np.uint8)
-for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
-    _WORD[_c] = 1
-_WORD[128:] = 1  # letters beyond ASCII; their punctuation too
+#: Scripts written without spaces, each of whose characters is a word of its own: Thai to Myanmar, Khmer, kana, Han and others.
+_UNSPACED = ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0xA4D0), (0xF900, 0xFB00), (0x1B000, 0x1B170), (0x20000, 0x323B0))
+
+
+def _classes() -> np.ndarray:
+    """Of each code point: 1 for letters, marks and digits, 2 for those of scripts without spaces, 0 for anything else."""
+    out = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x33480)), dtype=np.uint8, count=0x33480)
+    for a, b in _UNSPACED:
+        out[a:b] *= 2
+    return out
+
+
+_CLASS = _classes()
 
 _R, _INV = [np.ones(1, dtype=np.uint64)] * 2
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -51,7 +61,7 @@ def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 @dataclass
 class Words:
-    """The words of some documents, in order: runs of letters and digits, in lower case."""
+    """The words of some documents, in order: runs of letters, marks and digits, in lower case."""
 
     buf: np.ndarray  # UTF-8, documents parted by a line break
     starts: np.ndarray
@@ -61,14 +71,39 @@ class Words:
     hashes: np.ndarray
 
 
-def split(texts: pa.Array, hashed: bool = True) -> Words:
+def word_places(buf: np.ndarray, apart: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words in UTF-8. apart: characters of scripts without spaces are words of their own."""
+    wide = len(buf) and buf.max() >= 128
+    if wide:
+        lead = np.flatnonzero((buf & 0xC0) != 0x80)
+        points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+        kind = np.where(points < len(_CLASS), _CLASS[np.minimum(points, len(_CLASS) - 1)], 0)
+    else:
+        kind = _CLASS[buf]
+    word = np.zeros(len(kind) + 2, dtype=np.int8)
+    word[1:-1] = kind > 0
+    edge = np.diff(word)
+    if wide and apart and (kind == 2).any():
+        alone = kind == 2
+        begins, stops = edge[:-1] == 1, edge[1:] == -1
+        near = np.zeros(len(kind), dtype=bool)
+        near[1:] = alone[:-1]
+        begins |= (kind > 0) & (alone | near)
+        stops[:-1] |= begins[1:] & (kind[:-1] > 0)
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    else:
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if wide:
+        at = np.append(lead, len(buf))
+        starts, ends = at[starts], at[ends]
+    return starts, ends
+
+
+def split(texts: pa.Array, hashed: bool = True, apart: bool = True) -> Words:
     """texts: strings, no nulls."""
     lower = pc.utf8_lower(texts).cast(pa.large_binary()).to_pylist()
     buf = np.frombuffer(b"\n".join(lower), dtype=np.uint8)
-    is_word = np.zeros(len(buf) + 2, dtype=np.int8)
-    is_word[1:-1] = _WORD[buf]
-    edge = np.diff(is_word)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = word_places(buf, apart)
     offsets = np.cumsum([0, *(len(x) + 1 for x in lower)])
     first = np.searchsorted(starts, offsets)
     doc = np.repeat(np.arange(len(lower)), np.diff(first))

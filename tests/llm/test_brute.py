@@ -7,10 +7,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from sylloge.llm import bpe, exact_dedup, licenses, mixing, neighbours, pii, queries, secrets, simhash, substrings, tokens, toxicity
 from tests.conftest import SF, same_rows
-from tests.llm.data import documents, labels, prose
+from tests.llm.data import SCHEMA, documents, labels, prose
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
@@ -63,13 +64,53 @@ def variants(n, rnd):
     return texts
 
 
-def test_simhash_finds_every_pair(spark):
+@pytest.mark.parametrize(("parts", "rows"), [(simhash.PARTITIONS, 4_000_000), *(((p,), 4_000_000) for p in simhash.PARTITIONS), ((8,), 7), ((4,), 3)])
+def test_simhash_finds_every_pair(spark, monkeypatch, parts, rows):
+    monkeypatch.setattr(simhash, "PARTITIONS", parts)
+    monkeypatch.setattr(simhash, "KEY_ROWS", rows)
     texts = variants(120, random.Random(2))
     got = sorted(tuple(r) for r in simhash.near_duplicates(documents(spark, texts)).collect())
     want = groups(near_pairs(texts))
     assert got == want and len(want) > 50
 
 
+def test_wider_partitions_for_more_signatures():
+    rng = np.random.default_rng(3)
+    both = np.full((128, 128), 0.25) + 0.25 * np.eye(128)
+    chosen = []
+    for n in (10**5, 10**6, 10**7, 10**9):
+        works = {}
+        for parts in simhash.PARTITIONS:
+            bits = simhash.group_bits(both * n, n, parts)
+            pairs = [[n**2 * np.array([simhash.comb(len(f), d) / 2 ** len(f) for d in range(simhash.MOST + 1)]) for f in simhash.fine(b)] for b in bits]
+            costs = [simhash.estimate(p, len(b), n) for p, b in zip(pairs, bits)]
+            works[parts] = sum(c[t + 1] for c, t in zip(costs, simhash.allocate(costs, simhash.TAU)))
+        chosen.append(min(works, key=works.get))
+    assert chosen == sorted(chosen, reverse=True) and chosen[0] == 8 and chosen[-1] < 6
+    h = np.bincount(rng.integers(0, 256, 500), minlength=256)
+    v = np.repeat(np.arange(256), h)
+    d = np.bitwise_count(v[:, None] ^ v[None, :])
+    assert simhash.close(h, 8).tolist() == [float((d == k).sum()) for k in range(simhash.MOST + 1)]
+
+
+def test_components(spark):
+    rnd = random.Random(12)
+    pairs = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(500, 500 + i) for i in range(50)] + [(700 + i, 701 + i) for i in range(30)]
+    got = sorted(tuple(r) for r in simhash.components(spark.createDataFrame(pairs, "u long, v long")).collect())
+    assert got == groups([p for p in pairs if p[0] != p[1]])
+
+
+def test_near_copies_go_by_row(spark):
+    rnd = random.Random(13)
+    a, b, c = (prose(rnd, 90) for _ in range(3))
+    near = lambda t: t + " and"
+    rows = [(1, a), (2, near(a)), (2, b), (3, near(b)), (3, c), (3, c), (4, near(c)), (5, ""), (5, ""), (None, a), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    assert sorted(tuple(r) for r in simhash.near_duplicates(docs).collect()) == [(2, 1), (3, 2), (4, 3)]
+    left = [(r["doc_id"], r["text"]) for r in simhash.remove_near_duplicates(docs).collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (2, b), (3, c), (3, c), (5, ""), (5, ""), (None, a), (6, None)], key=str)
+
+
 def test_simhash_over_a_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.collect()
@@ -282,7 +323,8 @@ def test_secret_spans(spark):
 
 
 def passages(rows, k):
-    word = re.compile(r"[a-zA-Z0-9\u0080-\U0010ffff]+")
+    apart = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
+    word = regex.compile(rf"(?V1)[{apart}&&[\p{{L}}\p{{M}}\p{{N}}]]|[[\p{{L}}\p{{M}}\p{{N}}]--[{apart}]]+")
     places = collections.defaultdict(list)
     for i, t in rows:
         ws = [(m.group().lower(), m.start(), m.end()) for m in word.finditer(t)]
@@ -311,6 +353,8 @@ def test_substrings_brute(spark, k):
     rnd = random.Random(10)
     shared = [prose(rnd, n) for n in (8, 30, 60, 120)]
     texts = [" ".join(rnd.choice([prose(rnd, rnd.randint(1, 30)), rnd.choice(shared), rnd.choice(shared).upper() + "!"]) for _ in range(rnd.randint(0, 5))) for _ in range(80)] + ["é " * 70, "x " * 200]
+    texts += [f"{a}“{shared[3].replace(' ', ' ')}”{b}" for a, b in (("one", " two"), ("—", "…"), ("日本", "語。"))]
+    texts += ["".join(rnd.choices("的一是在不了有和人这中大为上个国", k=40)) + c + "这是一个在很多文件里重复的段落，" * 6 for c in "。！x"] + ["ภาษาไทยไม่มีช่องว่าง" * 4]
     got = sorted(tuple(r) for r in substrings.repeated_passages(documents(spark, texts), k).collect())
     assert got == passages(list(enumerate(texts)), k)
 
@@ -330,6 +374,10 @@ def test_substrings_over_a_table(spark):
 def test_words_of_batches():
     w = tokens.split(pa.array(["Ab, cd", "", "é1 ab"]))
     assert w.doc.tolist() == [0, 0, 2, 2] and w.hashes[0] == w.hashes[3] != w.hashes[1]
+    text = "“中文，abc漢def”ไท x\u0301—y\u00a0z"
+    for apart, want in ((True, ["中", "文", "abc", "漢", "def", "ไ", "ท", "x\u0301", "y", "z"]), (False, ["中文", "abc漢def", "ไท", "x\u0301", "y", "z"])):
+        w = tokens.split(pa.array(["a", text]), apart=apart)
+        assert [w.buf[a:b].tobytes().decode() for a, b in zip(w.starts, w.ends)] == ["a", *want]
 
 
 # -- neighbours ---------------------------------------------------------------------------------------
