@@ -49,14 +49,23 @@ _KEYED = ["key", "block", "node", *_COLUMNS]
 _SHIFT, BLOCKS = 32, 2048
 
 
+#: The bits of a byte as eight 8-bit counters, and how many of them may be added.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
+_FULL = 255
+
+
 def _sums(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """128-bit SimHashes of runs of hashes: two uint64 for each run."""
     out = np.empty((len(begins), 2), dtype=np.uint64)
-    size = np.diff(np.append(begins, len(hashes)))[:, None]
+    size = np.diff(np.append(begins, len(hashes)))
+    parts = -(-size // _FULL)
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(begins, parts) + _FULL * (np.arange(parts.sum()) - np.repeat(first, parts))
     for i, seed in enumerate(_SEEDS):
-        bits = np.unpackbits(mixed(hashes ^ seed).view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-        out[:, i] = np.packbits(ones * 2 >= size, axis=1).view(np.uint64)[:, 0]
+        lanes = np.take(_LANES, mixed(hashes ^ seed).view(np.uint8)).reshape(-1, 8)
+        ones = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8)
+        ones = np.add.reduceat(ones, first, axis=0, dtype=np.int32)
+        out[:, i] = np.packbits(ones * 2 >= size[:, None], axis=1).view(np.uint64)[:, 0]
     return out
 
 

@@ -19,7 +19,8 @@ _UNSPACED = ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x31
 
 def _classes() -> np.ndarray:
     """Of each code point: 1 for letters, marks and digits, 2 for those of scripts without spaces, 0 for anything else."""
-    out = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x33480)), dtype=np.uint8, count=0x33480)
+    out = np.zeros(0x110000, dtype=np.uint8)
+    out[:0x33480] = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x33480)), dtype=np.uint8, count=0x33480)
     for a, b in _UNSPACED:
         out[a:b] *= 2
     return out
@@ -77,22 +78,22 @@ def word_places(buf: np.ndarray, apart: bool = True) -> tuple[np.ndarray, np.nda
     if wide:
         lead = np.flatnonzero((buf & 0xC0) != 0x80)
         points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
-        kind = np.where(points < len(_CLASS), _CLASS[np.minimum(points, len(_CLASS) - 1)], 0)
+        kind = _CLASS[points]
     else:
         kind = _CLASS[buf]
-    word = np.zeros(len(kind) + 2, dtype=np.int8)
-    word[1:-1] = kind > 0
-    edge = np.diff(word)
-    if wide and apart and (kind == 2).any():
-        alone = kind == 2
-        begins, stops = edge[:-1] == 1, edge[1:] == -1
+    word = np.zeros(len(kind) + 2, dtype=bool)
+    word[1:-1] = kind
+    alone = kind == 2 if wide and apart else None
+    if alone is not None and alone.any():
+        begins, stops = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
         near = np.zeros(len(kind), dtype=bool)
         near[1:] = alone[:-1]
         begins |= (kind > 0) & (alone | near)
         stops[:-1] |= begins[1:] & (kind[:-1] > 0)
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     else:
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edges[::2], edges[1::2]
     if wide:
         at = np.append(lead, len(buf))
         starts, ends = at[starts], at[ends]
