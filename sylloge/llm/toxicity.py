@@ -5,7 +5,7 @@ counts they back off to: an expression that is rare in a class gets the probabil
 whole gives it, so only well attested differences count. A document has two length-normalised log-likelihood ratios: that
 of its most telling word by the word's length, and the sum of what all words have beyond a margin by the
 document's length, for expressions that tell only together. It is toxic where either reaches its threshold; both are
-fitted on labelled documents that the counts leave out.
+fitted on labelled documents that the counts leave out, and then these are counted too.
 """
 
 from __future__ import annotations
@@ -70,43 +70,44 @@ def grams(words: list[str]) -> Grams:
     return Grams(keys[used], np.repeat(np.arange(len(words)), length + 1), length + 1)
 
 
-def letters(w: Words) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(places of words without digits, distinct words among them, which of these each is)."""
-    digit = np.concatenate([[0], np.cumsum((w.buf >= 48) & (w.buf <= 57))])
-    at = np.flatnonzero(digit[w.ends] == digit[w.starts])
-    _, one, which = np.unique(w.hashes[at], return_index=True, return_inverse=True)
+def distinct_words(w: Words) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(hashes of the distinct words, these words, which of them each word is)."""
+    hashes, one, which = np.unique(w.hashes, return_index=True, return_inverse=True)
     raw = w.buf.tobytes()
-    distinct = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[at[one]].tolist(), w.ends[at[one]].tolist())]
-    return at, distinct, which
+    return hashes, [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[one].tolist(), w.ends[one].tolist())], which
+
+
+#: Counts of an n-gram: in ordinary and toxic texts that are counted, and in those that are held out.
+CLASSES = ["ordinary", "toxic", "held_ordinary", "held_toxic"]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each n-gram in ordinary and toxic texts."""
-    keys, counts = np.empty(0, dtype=np.int64), np.empty((0, 2), dtype=np.int64)
+    """Occurrences of each n-gram in the texts of each class."""
+    keys, counts = np.empty(0, dtype=np.int64), np.empty((0, 4), dtype=np.int64)
     held: list = []
 
     def merge():
         nonlocal keys, counts
         k, c = np.concatenate([keys, *(x for x, _ in held)]), np.concatenate([counts, *(y for _, y in held)])
         keys, which = np.unique(k, return_inverse=True)
-        counts = np.stack([np.bincount(which, c[:, i], len(keys)) for i in (0, 1)], axis=1).astype(np.int64)
+        counts = np.stack([np.bincount(which, c[:, i], len(keys)) for i in range(4)], axis=1).astype(np.int64)
         held.clear()
 
     for batch in chunks(batches):
-        w = split(batch["text"])
-        at, distinct, which = letters(w)
+        w = split(batch["text"], apart=False)
+        _, distinct, which = distinct_words(w)
         if not distinct:
             continue
-        toxic = batch["toxic"].to_numpy(zero_copy_only=False)[w.doc[at]]
-        uses = np.stack([np.bincount(which, toxic == i, len(distinct)) for i in (0, 1)], axis=1)
+        of = batch["class"].to_numpy(zero_copy_only=False)[w.doc]
+        uses = np.stack([np.bincount(which, of == i, len(distinct)) for i in range(4)], axis=1)
         g = grams(distinct)
         k, inverse = np.unique(g.keys, return_inverse=True)
-        held.append((k, np.stack([np.bincount(inverse, uses[g.word, i], len(k)) for i in (0, 1)], axis=1)))
+        held.append((k, np.stack([np.bincount(inverse, uses[g.word, i], len(k)) for i in range(4)], axis=1)))
         if sum(len(x) for x, _ in held) > 2_000_000:
             merge()
     if held:
         merge()
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[:, 0], pa.int64()), pa.array(counts[:, 1], pa.int64())], ["gram", "ordinary", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(counts[:, i], pa.int64()) for i in range(4))], ["gram", *CLASSES])
 
 
 @dataclass
@@ -129,28 +130,24 @@ class Model:
 
     def ratios_of(self, texts: pa.Array, cache: dict[int, tuple[float, float]]) -> np.ndarray:
         """The two ratios of each text; 0 without words."""
-        w = split(texts)
+        w = split(texts, apart=False)
         out = np.zeros((len(texts), 2))
-        digit = np.concatenate([[0], np.cumsum((w.buf >= 48) & (w.buf <= 57))])
-        at = np.flatnonzero(digit[w.ends] == digit[w.starts])
-        if not len(at):
+        if not len(w.doc):
             return out
-        hashes, one, which = np.unique(w.hashes[at], return_index=True, return_inverse=True)
+        hashes, one, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         missing = (np.nan, np.nan)
         known = np.array([cache.get(h, missing) for h in hashes.tolist()])
         new = np.flatnonzero(np.isnan(known[:, 0]))
         if len(new):
-            raw = w.buf.tobytes()
-            places = at[one[new]]
+            raw, places = w.buf.tobytes(), one[new]
             known[new] = self.words([raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[places].tolist(), w.ends[places].tolist())])
             if len(cache) > CACHE:
                 cache.clear()
             cache.update(zip(hashes[new].tolist(), map(tuple, known[new].tolist())))
-        doc = w.doc[at]
-        begins = np.flatnonzero(np.diff(doc, prepend=-1))
-        each = known[which]
-        out[doc[begins], 0] = np.maximum.reduceat(each[:, 0], begins)
-        out[doc[begins], 1] = np.add.reduceat(each[:, 1], begins) / (np.diff(np.append(begins, len(doc))) + LENGTH)
+        begins = np.flatnonzero(np.diff(w.doc, prepend=-1))
+        each, own = known[which], w.doc[begins]
+        out[own, 0] = np.maximum.reduceat(each[:, 0], begins)
+        out[own, 1] = np.add.reduceat(each[:, 1], begins) / (np.diff(np.append(begins, len(w.doc))) + LENGTH)
         return out
 
     def score(self, texts: pa.Array, cache: dict[int, tuple[float, float]]) -> np.ndarray:
@@ -248,10 +245,9 @@ def text_keys(text: Column) -> list[Column]:
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        w = split(batch["text"])
-        at, distinct, which = letters(w)
+        hashes, distinct, _ = distinct_words(split(batch["text"], apart=False))
         if distinct:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(w.hashes[at]).view(np.int64)), pa.array(distinct, pa.string())], ["h", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(distinct, pa.string())], ["h", "word"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,11 +261,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct words of each text, how often it has them, and its number of words."""
     for batch in chunks(batches):
-        w = split(batch["text"])
-        at, distinct, which = letters(w)
-        if not distinct:
+        w = split(batch["text"], apart=False)
+        if not len(w.doc):
             continue
-        hashes, doc = np.unique(w.hashes[at]).view(np.int64), w.doc[at]
+        hashes, which = np.unique(w.hashes, return_inverse=True)
+        hashes, doc = hashes.view(np.int64), w.doc
         pair, n = np.unique(doc * len(hashes) + which, return_counts=True)
         own = pair // len(hashes)
         k1, k2 = (batch[c].to_numpy()[own] for c in ("k1", "k2"))
@@ -325,21 +321,28 @@ def _bins(table: Table, rows: DataFrame) -> list[tuple[float, float, int, int]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model | Table:
-    """The model of all labelled documents of docs; without labels of both kinds nothing is toxic."""
-    rows = labelled(docs, labels, text, doc_id)
+    """The model of all labelled documents of docs; without labels of both kinds, counted and held out, nothing is toxic.
+
+    The thresholds are those that suit the held-out documents best under a model that doesn't count them.
+    """
     held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
-    counted = rows.where(~held).select("text", "toxic").mapInArrow(_count, "gram long, ordinary long, toxic long")
-    counted = written(counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-counts")
+    rows = labelled(docs, labels, text, doc_id).select("text", "toxic", held.alias("held"))
+    counted = rows.select("text", (F.col("toxic") + F.when(F.col("held"), 2).otherwise(0)).alias("class"))
+    counted = counted.mapInArrow(_count, f"gram long, {', '.join(f'{c} long' for c in CLASSES)}")
+    counted = written(counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in CLASSES)), "toxicity-counts")
     n, *sums = counted.agg(F.count("*"), F.sum("ordinary"), F.sum("toxic")).first()
     if not all(sums):
         return Model(*(np.empty(0, dtype=t) for t in (np.int64, np.float32, np.int64, np.float32)))
     if n > MAX_NGRAMS:
-        table = kneser_ney_table(counted)
-        table.thresholds = best_thresholds(_bins(table, rows.where(held)))
+        part = kneser_ney_table(counted.select("gram", "ordinary", "toxic").where("ordinary + toxic > 0"))
+        thresholds = best_thresholds(_bins(part, rows.where("held")))
+        table = kneser_ney_table(counted.select("gram", (F.col("ordinary") + F.col("held_ordinary")).alias("ordinary"), (F.col("toxic") + F.col("held_toxic")).alias("toxic")))
+        table.thresholds = thresholds
         return table
     counted = counted.toArrow().sort_by("gram")
-    model = kneser_ney(*(counted[c].to_numpy() for c in ("gram", "ordinary", "toxic")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    keys, *counts = (counted[c].to_numpy() for c in ("gram", *CLASSES))
+    seen = counts[0] + counts[1] > 0
+    shared = docs.sparkSession.sparkContext.broadcast(kneser_ney(keys[seen], counts[0][seen], counts[1][seen]))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, tuple[float, float]] = {}
@@ -347,7 +350,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             bins = np.floor(shared.value.ratios_of(batch["text"], cache) / STEPS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(bins[:, 0]), pa.array(bins[:, 1])], ["toxic", "a", "b"])
 
-    found = rows.where(held).select("text", "toxic").mapInArrow(binned, "toxic int, a long, b long").groupBy("a", "b", "toxic").count().collect()
+    found = rows.where("held").select("text", "toxic").mapInArrow(binned, "toxic int, a long, b long").groupBy("a", "b", "toxic").count().collect()
+    model = kneser_ney(keys, counts[0] + counts[2], counts[1] + counts[3])
     model.thresholds = best_thresholds([(r["a"] * STEPS[0], r["b"] * STEPS[1], r["toxic"], r["count"]) for r in found])
     return model
 
@@ -406,9 +410,10 @@ def scorer(model: Model, docs: DataFrame):
 def toxic_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score): the documents with a score of at least 1, the larger of the two ratios over their thresholds.
 
-    Null texts, empty ones and those without words score 0 and are not toxic; whole texts are scored; rows
-    with a null id are left out, repeated rows repeat; with no labels of one kind, or an empty table, the
-    result is empty. Other columns are ignored.
+    Words are runs of letters, marks and digits, in lower case. Null texts, empty ones and those without words score 0 and are
+    not toxic; whole texts are scored, however long; rows with a null id are left out, repeated rows repeat, and an id with several
+    texts is listed for each that is toxic; with no labels of one kind, or an empty table, the result is empty. Other columns,
+    whatever their names, are ignored.
     """
     model = fit(docs, labels, text, doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -420,7 +425,12 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the rows whose text is toxic; null texts stay. The columns are those of docs."""
+    """docs without the rows whose text is toxic: toxic_documents() says which texts are.
+
+    Null texts, empty ones and those without words stay, and so do all rows where there are no labels of one kind. Rows go
+    by their text alone: equal texts share their fate whatever their ids, null ids too. Very long texts are scored whole; an empty table
+    gives an empty one; columns and their names are those of docs, whatever they are.
+    """
     model = fit(docs, labels, text, doc_id)
     if isinstance(model, Table):
         own = F.coalesce(F.col(text).cast("string"), F.lit(""))
