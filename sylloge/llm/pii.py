@@ -133,11 +133,11 @@ def hidden(text: str) -> Edits:
 
 
 def leet(text: str) -> Edits:
-    """Letters among digits, where at least half of seven or more characters are digits."""
+    """Letters among digits, where at least half of seven or more characters, or six, are digits."""
     out: Edits = []
     for m in _LEET.finditer(text) if _MIXED.search(text) else ():
         s = m.group()
-        if sum(c.isdigit() for c in s) * 2 >= sum(c.isalnum() for c in s) >= 14 or (sum(map(str.isdigit, s)) >= 6 and any(c in LEET for c in s)):
+        if sum(c.isdigit() for c in s) * 2 >= sum(c.isalnum() for c in s) >= 7 or (sum(map(str.isdigit, s)) >= 6 and any(c in LEET for c in s)):
             out += [(m.start() + i, m.start() + i + 1, LEET[c]) for i, c in enumerate(s) if c in LEET]
     return out
 
@@ -243,8 +243,8 @@ def iban(code: str) -> bool:
 
 
 def card(digits: str) -> bool:
-    """13 to 19 digits as issuers use them; those without a valid check digit need an issuer's prefix and length."""
-    return 13 <= len(digits) <= 19 and (luhn(digits) or len(digits) == 16 and digits[0] in "23456")
+    """13 to 19 digits with a valid check digit, not all the same."""
+    return 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1
 
 
 def identifiers(text: str, rewritten: list[tuple[int, int]] = ()) -> list[tuple[int, int, str]]:
