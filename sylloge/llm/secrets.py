@@ -22,8 +22,7 @@ from .tokens import chunks
 
 #: Labelled documents whose words are ordinary samples at most, those of the smallest hashes of their ids.
 SAMPLE_DOCS = 4_000
-#: Distinct words among them at most, the most frequent ones, and samples of either class that are made.
-SAMPLE_WORDS = 20_000
+#: Samples of either class that are made, besides the words themselves.
 SAMPLES = 40_000
 #: Characters before the one that is predicted.
 ORDER = 2
@@ -119,7 +118,7 @@ def ordinary_samples(words: list[str], n: int, seed: int = SEED + 1) -> list[str
     """Words alone and joined as identifiers, paths, numbers, dates and repeated characters."""
     rnd = random.Random(seed)
     words = [w for w in words if w.isalpha()] or _NAMES
-    out = list(words[:n])
+    out = list(words)
     for _ in range(n):
         w = [rnd.choice(_NAMES) if rnd.random() < 0.3 else rnd.choice(words) for _ in range(rnd.randint(2, 5))]
         style = rnd.randrange(10)
@@ -158,16 +157,16 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Trained on samples of bounded number: SAMPLE_DOCS, SAMPLE_WORDS, SAMPLES.
+    """Trained on all words of at most SAMPLE_DOCS labelled documents and on SAMPLES made strings of either class.
 
     Without labelled documents a short list of names stands in for their words.
     """
     ids = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
     chosen = ids.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id", "left_semi")
-    words = rows.select(F.explode(F.split(F.col("text"), r"[^\p{L}]+")).alias("w")).where("length(w) BETWEEN 2 AND 40")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(SAMPLE_WORDS).collect()
-    ordinary = ordinary_samples([r["w"] for r in top], SAMPLES)
+    words = rows.select(F.explode(F.split(F.col("text"), r"[^\p{L}]+")).alias("w")).where("length(w) >= 2")
+    found = words.groupBy("w").count().orderBy(F.desc("count"), "w").select("w").toArrow()["w"].to_pylist()
+    ordinary = ordinary_samples(found, SAMPLES)
     return Model(chain(random_samples(SAMPLES)) - chain(ordinary))
 
 
