@@ -1,44 +1,38 @@
 """Exact duplicate removal through an extendible-hash index kept on shared files.
 
 Keys are 64-bit hashes of whole texts. A directory over the top bits of the key doubles until no bucket
-is larger than its capacity; each bucket is a contiguous key range. The index entries go, grouped by
-bucket, to the shared folder. Owner tasks then take whole buckets, chain entries of equal key and compare
-the bytes, so two texts count as copies only if they are identical.
+is larger than its capacity; each bucket is a contiguous key range. The index entries, those of a key
+combined before they are sent, go, grouped by bucket, to the shared folder. Owner tasks then take whole buckets, chain the texts
+of keys that several rows have and compare the bytes, so two texts count as copies only if they are identical. Copies among
+the rows of a batch are combined before they are sent too, so that a text that very many rows have reaches its owner a few times only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, parallelism, written
 
-#: Entries a bucket holds before it is split.
+#: Entries a bucket holds before it is split, and the slots of the directory, of four bytes each, beyond which buckets grow instead.
 CAPACITY = 4096
-#: Bits of the finest key prefix whose entries are counted, which bounds the directory.
-MAX_DEPTH = 16
+SLOTS = 1 << 22
 
 #: Keys held by several documents that may be broadcast (32 MB); more are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
 
-PAIRS = "doc_id long, kept_doc_id long"
 
-
-def build_directory(counts: dict[int, int], fine_bits: int, capacity: int) -> tuple[int, list[int]]:
+def build_directory(fine: np.ndarray, fine_bits: int, capacity: int) -> tuple[int, list[int]]:
     """(global depth, directory): directory[p] is the bucket of the keys with the top bits p.
 
-    counts has the entries by fine prefix. Starting with one bucket, an overfull bucket is split on its
+    fine has the entries by fine prefix. Starting with one bucket, an overfull bucket is split on its
     next bit; where its local depth is the global depth, the directory is doubled first. A bucket whose
     entries share the whole fine prefix can't be split further and keeps them in a chain.
     """
-    import numpy as np
-
-    fine = np.zeros(1 << fine_bits, dtype=np.int64)
-    for k, n in counts.items():
-        fine[k] = n
     total = np.concatenate([[0], np.cumsum(fine)])
 
     def load(prefix: int, depth: int) -> int:
@@ -65,77 +59,104 @@ def build_directory(counts: dict[int, int], fine_bits: int, capacity: int) -> tu
     return depth, [order.setdefault(b, len(order)) for b in directory]
 
 
+def fine_bits(n: int, capacity: int) -> int:
+    """Bits of the prefixes by which n keys are counted: enough to split any bucket that different keys overfill, within SLOTS."""
+    return min((SLOTS - 1).bit_length(), max(4, (max(n, 1) // capacity).bit_length() + 3))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each batch, once, with the number of their rows."""
+    for batch in batches:
+        key, n = np.unique(batch["key"].to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, bucket, n) of rows sorted by key: each key once, with all its rows."""
+    at, bucket, total = None, 0, 0
+    for batch in batches:
+        keys, n, buckets = (batch[c].to_numpy() for c in ("key", "n", "bucket"))
+        begins = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.empty(0, dtype=np.int64)
+        if not len(begins):
+            continue
+        k, sums, where = keys[begins], np.add.reduceat(n, begins), buckets[begins]
+        if at is not None and k[0] == at:
+            sums[0] += total
+        elif at is not None:
+            k, sums, where = np.append(at, k), np.append(total, sums), np.append(bucket, where)
+        at, total, bucket = k[-1], sums[-1], where[-1]  # the last key waits for the next batch
+        yield pa.RecordBatch.from_arrays([pa.array(k[:-1]), pa.array(where[:-1], pa.int32()), pa.array(sums[:-1])], ["key", "bucket", "n"])
+    if at is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([bucket], pa.int32()), pa.array([total], pa.int64())], ["key", "bucket", "n"])
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch less those whose text another row of it has with a smaller id."""
+    for batch in batches:
+        code = batch["text"].dictionary_encode().indices.to_numpy()
+        order = np.lexsort((batch["doc_id"].to_numpy(), code))
+        yield batch.take(pa.array(order[np.flatnonzero(np.diff(code[order], prepend=-1))]))
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, key, doc_id): compares the texts of equal keys, keeps the first of each."""
-    at, chain, last = None, [], None
+    """Of rows sorted by (bucket, key, doc_id): the texts of each key with the first id; the text only where a key has several."""
+    at, chain = None, []
+
+    def ended():
+        return [(at, i, t if len(chain) > 1 else None) for i, t in chain]
+
     for batch in batches:
-        ids, kept = [], []
-        keys, docs, texts = batch["key"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]
-        for i, key in enumerate(keys):
+        done = []
+        for key, i, t in zip(batch["key"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
             if key != at:
+                done += ended()
                 at, chain = key, []
-            text = texts[i].as_buffer()
-            text = text.to_pybytes() if text is not None else b""
-            for first, other in chain:
-                if other == text:
-                    if first != docs[i] and last != (key, docs[i], first):
-                        last = (key, docs[i], first)
-                        ids.append(docs[i])
-                        kept.append(first)
-                    break
-            else:
-                chain.append((docs[i], text))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.int64())], ["doc_id", "kept_doc_id"])
+            text = t.as_buffer().to_pybytes() if t.as_buffer() is not None else b""
+            if all(text != other for _, other in chain):
+                chain.append((i, text))
+        yield _kept_rows(done)
+    yield _kept_rows(ended())
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: adds whether a neighbour has the same key."""
-    import numpy as np
+def _kept_rows(rows: list) -> pa.RecordBatch:
+    key, kept, text = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kept, pa.int64()), pa.array([None if t is None else t.decode() for t in text], pa.string())], ["key", "kept_doc_id", "own_text"])
 
-    held = None  # the last row of a batch waits for the next batch
-    for batch in batches:
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        keys = batch["key"].to_numpy(zero_copy_only=False)
-        same = np.zeros(len(keys), dtype=bool)
-        same[1:] = keys[1:] == keys[:-1]
-        if held is not None and held_crowded:
-            same[0] = True
-        either = same.copy()
-        either[:-1] |= same[1:]
-        held_crowded, held = bool(same[-1]), batch.slice(len(keys) - 1)
-        yield batch.slice(0, len(keys) - 1).append_column("crowded", pa.array(either[:-1]))
-    if held is not None:
-        yield held.append_column("crowded", pa.array([held_crowded]))
-
-
-def _shared(keys: DataFrame, capacity: int):
-    """(the keys that several rows of keys(key, doc_id) have, ready to join; located: sends rows to the owners of their buckets)."""
-    spark = keys.sparkSession
-    prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    counts = {r[0]: r[1] for r in keys.groupBy(prefix.alias("p")).count().collect()}
-    depth, directory = build_directory(counts, MAX_DEPTH, capacity)
+
+def _kept(rows: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows(doc_id, text, key): (doc_id, key) of all, and (key, kept_doc_id, own_text) of the texts of keys that several rows have.
+
+    own_text is null where all rows of the key have the same text. The second is broadcast where that is safe.
+    """
+    spark = rows.sparkSession
+    entries = written(rows.select("doc_id", "key"), "extendible-entries")
+    n = entries.count()
+    bits = fine_bits(n, capacity)
+    counts = entries.groupBy(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("p")).count().toArrow()
+    fine = np.zeros(1 << bits, dtype=np.int64)
+    fine[counts["p"].to_numpy()] = counts["count"].to_numpy()
+    depth, directory = build_directory(fine, bits, max(capacity, 8 * n // SLOTS))
     buckets = max(directory) + 1
     owners = min(buckets, max(parallelism(spark), buckets // 16))
 
     def located(df: DataFrame) -> DataFrame:
-        """df with the bucket of each key, whole buckets and thus key ranges to owners, sorted by key."""
+        """df with the bucket of each key, whole buckets and thus key ranges to owners."""
         if depth:
             slots = spark.createDataFrame([(directory,)], "slots array<int>")
             top = F.shiftrightunsigned("key", 64 - depth).cast("int")
             df = df.crossJoin(F.broadcast(slots)).withColumn("bucket", F.get("slots", top)).drop("slots")
         else:
             df = df.withColumn("bucket", F.lit(0))
-        owner = F.floor(F.col("bucket").cast("long") * owners / F.lit(buckets)).cast("int")
-        return df.repartitionById(owners, owner).sortWithinPartitions("bucket", "key", "doc_id")
+        return df.repartitionById(owners, F.floor(F.col("bucket").cast("long") * owners / F.lit(buckets)).cast("int"))
 
-    index = written(
-        located(keys).mapInArrow(_crowded, "key long, doc_id long, bucket int, crowded boolean"), "extendible-index"
-    )
-    shared = index.where("crowded").select("key").distinct()
-    if shared.count() <= BROADCAST_KEYS:
-        shared = F.broadcast(shared)
-    return shared, located
+    index = located(entries.select("key").mapInArrow(_entries, "key long, n long")).sortWithinPartitions("bucket", "key")
+    index = written(index.mapInArrow(_crowded, "key long, bucket int, n long"), "extendible-index")
+    shared = index.where("n > 1").select("key")
+    small = shared.count() <= BROADCAST_KEYS
+    own = rows.join(F.broadcast(shared) if small else shared, "key", "left_semi").select("key", "doc_id", "text")
+    own = located(own.mapInArrow(_combined, "key long, doc_id long, text string")).sortWithinPartitions("bucket", "key", "doc_id")
+    kept = written(own.mapInArrow(_chains, "key long, kept_doc_id long, own_text string"), "extendible-kept")
+    return entries, F.broadcast(kept) if small else kept
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -151,21 +172,27 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, text: str = "tex
         .where("doc_id IS NOT NULL AND text IS NOT NULL")
         .withColumn("key", F.xxhash64("text"))
     )
-    shared, located = _shared(rows.select("key", "doc_id"), capacity)
-    compared = located(rows.join(shared, "key", "left_semi").select("key", "doc_id", "text"))
-    return compared.mapInArrow(_chains, PAIRS)
+    entries, kept = _kept(rows, capacity)
+    found = entries.join(kept.where("own_text IS NULL"), "key")
+    several = kept.where("own_text IS NOT NULL")
+    if not several.isEmpty():
+        found = found.select("doc_id", "kept_doc_id").union(rows.join(several, ["key"]).where("text = own_text").select("doc_id", "kept_doc_id"))
+    return found.where("doc_id <> kept_doc_id").select("doc_id", "kept_doc_id").distinct()
 
 
 def remove_exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """docs with one row of each text, one of the smallest id; rows with a null id or text stay.
 
-    Rows are removed by their own id and text: an id with several texts keeps those that no smaller id has.
+    Rows are removed by their own id and text: an id with several texts keeps those that no smaller id has. Of rows that repeat
+    an id and a text, which may differ in other columns, any one stays; empty texts are a text like any other, and very long
+    ones are compared whole. An empty table gives an empty one; columns and their names are those of docs, whatever they are.
     """
-    key, place = fresh(docs, "text_key"), fresh(docs, "text_place")
-    own = F.col("text").cast("string")
-    keyed = docs.withColumn(key, F.when(F.col("doc_id").cast("long").isNotNull() & own.isNotNull(), F.xxhash64(own)))
-    shared = _shared(keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id")), capacity)[0]
-    shared = shared.withColumnRenamed("key", key)
-    first = Window.partitionBy(key, own).orderBy(F.col("doc_id").cast("long"))
-    kept = keyed.join(shared, key, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
-    return keyed.join(shared, key, "left_anti").select(*docs.columns).unionByName(kept.select(*docs.columns))
+    key, mine, kept_id, kept_text = (fresh(docs, x) for x in ("text_key", "text_id", "text_kept", "text_of_kept"))
+    own, own_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    keyed = docs.withColumn(key, F.when(own_id.isNotNull() & own.isNotNull(), F.xxhash64(own)))
+    rows = keyed.where(F.col(key).isNotNull()).select(own_id.alias("doc_id"), own.alias("text"), F.col(key).alias("key"))
+    kept = _kept(rows, capacity)[1].toDF(mine, kept_id, kept_text)
+    same = (F.col(key) == F.col(mine)) & (F.col(kept_text).isNull() | (F.col(kept_text) == own))
+    joined = keyed.join(kept, same, "left").where(F.col(kept_id).isNull() | (F.col(kept_id) == own_id))
+    one = joined.where(F.col(kept_id).isNotNull()).dropDuplicates([kept_id, mine, kept_text])
+    return joined.where(F.col(kept_id).isNull()).select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -251,7 +251,9 @@ def test_mixing_brute(spark):
 
 def test_directory():
     counts = {0: 50, 1: 3, 2: 3, 9: 60, 12: 1}
-    depth, directory = exact_dedup.build_directory(counts, 4, 10)
+    fine = np.zeros(16, dtype=np.int64)
+    fine[list(counts)] = list(counts.values())
+    depth, directory = exact_dedup.build_directory(fine, 4, 10)
     assert len(directory) == 1 << depth and directory == sorted(directory)
     load = collections.Counter()
     for k, n in counts.items():
@@ -259,10 +261,30 @@ def test_directory():
     assert sorted(load.values())[-2:] == [50, 60] and max(sorted(load.values())[:-2]) <= 10
 
 
+@pytest.mark.parametrize("n", [0, 1, 4096, 10**6, 10**8, 10**9, 10**11])
+def test_buckets_stay_within_capacity_at_any_size(n):
+    bits = exact_dedup.fine_bits(n, exact_dedup.CAPACITY)
+    capacity = max(exact_dedup.CAPACITY, 8 * n // exact_dedup.SLOTS)
+    assert 1 << bits <= exact_dedup.SLOTS and n / (1 << bits) <= capacity / 4
+
+
 def test_collisions_are_compared():
-    batch = pa.RecordBatch.from_pydict({"key": [1, 1, 1, 1, 2], "doc_id": [1, 2, 3, 4, 5], "text": ["a", "b", "a", "b", "a"]})
-    out = [r for b in exact_dedup._chains(iter([batch])) for r in b.to_pylist()]
-    assert out == [{"doc_id": 3, "kept_doc_id": 1}, {"doc_id": 4, "kept_doc_id": 2}]
+    batches = [pa.RecordBatch.from_pydict({"key": k, "doc_id": i, "text": t}) for k, i, t in (([1, 1, 1], [1, 2, 3], ["a", "b", "a"]), ([1, 2, 2], [4, 5, 6], ["b", "a", "a"]))]
+    out = [tuple(r.values()) for b in exact_dedup._chains(iter(batches)) for r in b.to_pylist()]
+    assert out == [(1, 1, "a"), (1, 2, "b"), (2, 5, None)]
+    out = [r for b in exact_dedup._combined(iter(batches)) for r in zip(b["doc_id"].to_pylist(), b["text"].to_pylist())]
+    assert sorted(out) == [(1, "a"), (2, "b"), (4, "b"), (5, "a")]
+    counts = [pa.RecordBatch.from_pydict({"key": pa.array(k, pa.int64()), "n": pa.array(n, pa.int64()), "bucket": pa.array(b, pa.int32())}) for k, n, b in (([-5, -5, 3], [1, 2, 1], [0, 0, 1]), ([3, 3], [4, 5], [1, 1]), ([], [], []), ([7], [1], [2]))]
+    assert [tuple(r.values()) for b in exact_dedup._crowded(iter(counts)) for r in b.to_pylist()] == [(-5, 0, 3), (3, 1, 10), (7, 2, 1)]
+
+
+def test_texts_of_one_key(spark, monkeypatch):
+    """Different texts with the same key, here by their length, are told apart."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: exact_dedup.F.length(c).cast("long"))
+    texts = ["aa", "bb", "aa", "cc", "bb", "a", "", "", "ccc", "bb"]
+    docs = documents(spark, texts)
+    assert sorted(tuple(r) for r in exact_dedup.exact_duplicates(docs).collect()) == [(2, 0), (4, 1), (7, 6), (9, 1)]
+    assert sorted(r["doc_id"] for r in exact_dedup.remove_exact_duplicates(docs).collect()) == [0, 1, 3, 5, 6, 8]
 
 
 def test_exact_brute(spark):

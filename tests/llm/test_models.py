@@ -103,7 +103,7 @@ def test_kneser_ney_over_a_table(spark):
 
 def test_words_with_digits_count(spark):
     rows = [(i, "kind words for all of us here " + str(i), 0) for i in range(60)] + [(100 + i, "you are a w0rthl3ss 1d10t here", 1) for i in range(60)]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t, _ in rows] + [(999, "such a w0rthl3ss thing", "en", "s", 1), (998, "a kind thing", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t, _ in rows] + [(999, "such a w0rthl3ss 1d10t, that", "en", "s", 1), (998, "a kind thing", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     marks = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
     found = {r["doc_id"] for r in toxicity.toxic_documents(docs, marks).collect()}
     assert found == {100 + i for i in range(60)} | {999}
