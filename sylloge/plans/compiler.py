@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .local import LimitError
 from .stratify import Key
 from .syntax import Aggregate, Arith, Atom, Clause, Cmp, DatalogError, Expr, Goal, Lit, Not, Num, Var, Wild, expr_vars, goal_vars, write
 
@@ -29,16 +30,22 @@ def kind_of(t: T.DataType) -> str:
 class Relation:
     """A predicate's rows in columns c0, c1, ...; a predicate without arguments has the column unit.
 
-    unique says that no row occurs twice, which spares a shuffle.
+    unique says that no row occurs twice, which spares a shuffle; key has places whose values no two rows share.
     """
 
     df: DataFrame
     arity: int
     unique: bool = False
+    key: tuple[int, ...] | None = None
+
+    def __post_init__(self):
+        if self.key is None and self.unique:
+            self.key = tuple(range(self.arity))
+        self.unique = self.key is not None
 
     @classmethod
-    def of(cls, df: DataFrame, unique: bool = False) -> Relation:
-        return cls(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), len(df.columns), unique)
+    def of(cls, df: DataFrame, unique: bool = False, key: tuple[int, ...] | None = None) -> Relation:
+        return cls(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), len(df.columns), unique, key)
 
     @property
     def kinds(self) -> list[str]:
@@ -50,10 +57,29 @@ class Relation:
 
 @dataclass
 class Bound:
-    """The solutions so far: a column and a kind for each variable."""
+    """The solutions so far: a column and a kind for each variable.
+
+    key: variables whose values no two rows share; None where rows may repeat.
+    """
 
     df: DataFrame | None
     vars: dict[str, tuple[str, str]]
+    key: frozenset[str] | None = frozenset()
+
+    def joined(self, own: dict[str, tuple[str, str]], key: frozenset[str] | None) -> None:
+        """key after a join with rows that have the variables own and the key key."""
+        if self.key is None or key is None:
+            self.key = None
+        elif key <= self.vars.keys():
+            pass  # each row meets one row at most
+        elif self.key <= own.keys():
+            self.key = key
+        else:
+            self.key |= key
+
+    def distinct_on(self, names: Iterable[str]) -> bool:
+        """Whether the rows differ in these variables."""
+        return self.key is not None and self.key <= set(names)
 
     def col(self, name: str) -> Column:
         return F.col(self.vars[name][0])
@@ -127,10 +153,10 @@ def comparison(g: Cmp, bound: Bound) -> Column:
 
 
 class Compiler:
-    """lookup gives the relation of a predicate, or None for one without rows."""
+    """lookup gives the relation of a predicate, or None for one without rows; most_rows bounds the solutions that an aggregate is of."""
 
-    def __init__(self, lookup: Callable[[Key], Relation | None], broadcast_below: int | None = None):
-        self.lookup, self.n = lookup, 0
+    def __init__(self, lookup: Callable[[Key], Relation | None], most_rows: int | None = None):
+        self.lookup, self.most_rows, self.n, self.distinct = lookup, most_rows, 0, False
 
     def _scan(self, lit: Lit, bag: bool, relation: Relation | None) -> tuple[DataFrame | None, dict[str, tuple[str, str]]]:
         """The rows that a literal alone selects, with a column for each of its variables."""
@@ -157,6 +183,15 @@ class Compiler:
         out = {v: (f"g{self.n}_{c}", kind) for v, (c, kind) in names.items()}
         return df.select(*(F.col(c).alias(out[v][0]) for v, (c, _) in names.items())), out
 
+    def _key(self, lit: Lit, bag: bool, relation: Relation | None) -> frozenset[str] | None:
+        """The variables of a literal whose values no two rows of its scan share, if there are such."""
+        if relation is None:
+            return frozenset()
+        key = relation.key if relation.key is not None else tuple(range(relation.arity)) if bag else None
+        if key is None or any(isinstance(lit.args[i], Wild) for i in key):
+            return None
+        return frozenset(lit.args[i].name for i in key if isinstance(lit.args[i], Var))
+
     def body(self, goals: tuple[Goal, ...], needed: set[str], bag: bool = False, given: dict[int, Relation] | None = None) -> Bound:
         """The solutions of goals, as many rows as solutions if bag; needed: variables used afterwards.
 
@@ -176,11 +211,12 @@ class Compiler:
                 self._negate(bound, lit, relation)
                 continue
             df, own = self._scan(lit, bag, relation)
+            key = self._key(lit, bag, relation)
             if df is None:
                 own = {v: (f"none{i}_{v}", "str") for v in goal_vars(lit)}
                 df = self._unit().where(F.lit(False)).select(*(F.lit(None).cast("string").alias(c) for c, _ in own.values()))
             if bound.df is None:
-                bound.df, bound.vars = df, own
+                bound.df, bound.vars, bound.key = df, own, key
                 continue
             shared = [v for v in own if v in bound.vars]
             conds = [bound.col(v) == F.col(own[v][0]) if bound.kind(v) == own[v][1] else F.lit(False) for v in shared]
@@ -190,6 +226,7 @@ class Compiler:
                 bound.df = bound.df.join(df, all_of(conds), "left_semi") if shared else bound.df.join(df.limit(1).select(F.lit(True).alias(f"any{i}")), F.lit(True), "left_semi")
                 continue
             bound.df = bound.df.join(df, all_of(conds), "inner") if shared else bound.df.crossJoin(df)
+            bound.joined(own, key)
             bound.vars |= {v: own[v] for v in fresh}
             keep = [c for c, _ in bound.vars.values()]
             bound.df = bound.df.select(*keep)
@@ -215,11 +252,13 @@ class Compiler:
     # heads
 
     def rule(self, c: Clause, given: dict[int, Relation] | None = None) -> DataFrame:
-        """The head's rows, with repetitions."""
+        """The head's rows, with repetitions unless self.distinct then says that there are none."""
         if c.aggregate:
+            self.distinct = True
             return self._aggregate_rule(c)
         needed = {t.name for t in c.head.args if isinstance(t, Var)}
         bound = self.body(c.body, needed, given=given)
+        self.distinct = not c.head.args or bound.distinct_on(needed)
         if not c.head.args:
             return bound.df.limit(1).select(F.lit(True).alias("unit"))
         return bound.df.select(*(self._term(t, bound).alias(f"c{i}") for i, t in enumerate(c.head.args)))
@@ -241,6 +280,8 @@ class Compiler:
     def aggregated(self, a: Aggregate, goals: tuple[Goal, ...], keys: list[str]) -> DataFrame:
         """A row for each group with columns k0, k1, ... and value; without keys one row, or none where the aggregate has no value."""
         bound = self.body(goals, set(keys) | ({a.arg} if a.arg else set()), bag=True)
+        if self.most_rows is not None and bound.df.limit(self.most_rows + 1).count() > self.most_rows:
+            raise LimitError(f"an aggregate is of more than {self.most_rows} solutions")
         value = self._value(a, bound).alias("value")
         if keys:
             return bound.df.groupBy(*(bound.col(k).alias(f"k{i}") for i, k in enumerate(keys))).agg(value)

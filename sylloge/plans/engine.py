@@ -5,22 +5,38 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, FloatType, LongType, StructField
 
 from ..sources.scratch import new_path
-from .compiler import Compiler, Relation, unify
+from .compiler import Compiler, Relation, all_of, kind_of, unify
 from .local import LimitError, Local
 from .stratify import Key, groups, reachable, recursive
 from .syntax import Arith, Clause, Cmp, DatalogError, Lit, Not, Num, Program, Query, Var, Wild, goal_vars, parse_program, parse_query, write_atom
 
 #: Rows of all relations that a recursive group reads up to which it is derived on the driver.
-LOCAL_ROWS = 50_000
+LOCAL_ROWS = 10_000
+
+
+#: Bounds of relations that register_portable() takes, and the largest integer in them.
+PORTABLE_ROWS, PORTABLE_BYTES, PORTABLE_INT = 100_000, 16 << 20, 2**53 - 1
+
+
+def _portable(name: str, f: StructField) -> Column:
+    c = F.col(f.name)
+    wrong = lambda what: F.raise_error(F.lit(f"{name}.{f.name} {what}")).cast(f.dataType)
+    out = F.when(c.isNull(), wrong("is null"))
+    if isinstance(f.dataType, (DoubleType, FloatType)):
+        out = out.when(F.isnan(c) | (F.abs(c) == float("inf")), wrong("is not finite"))
+    elif isinstance(f.dataType, LongType):
+        out = out.when(~c.between(-PORTABLE_INT, PORTABLE_INT), wrong("is beyond the integers that a double holds"))
+    return out.otherwise(c).alias(f.name)
 
 
 class _Compiler(Compiler):
-    def __init__(self, spark: SparkSession, lookup):
-        super().__init__(lookup)
+    def __init__(self, spark: SparkSession, lookup, most_rows: int | None = None):
+        super().__init__(lookup, most_rows)
         self.spark = spark
 
     def _unit(self) -> DataFrame:
@@ -43,27 +59,51 @@ def _facts(spark: SparkSession, key: Key, clauses: list[Clause]) -> Relation:
 
 
 class Engine:
-    """max_rows bounds collected answers, max_facts and max_rounds derivations; a passed bound is an error."""
+    """max_facts and max_rounds bound derivations, max_aggregate_rows the solutions that an aggregate is of; a passed bound is an error."""
 
-    def __init__(self, spark: SparkSession, max_rounds: int = 10_000, max_facts: int | None = None, local_rows: int = LOCAL_ROWS):
-        self.spark, self.max_rounds, self.max_facts, self.local_rows = spark, max_rounds, max_facts, local_rows
+    def __init__(self, spark: SparkSession, max_rounds: int = 10_000, max_facts: int | None = None, local_rows: int = LOCAL_ROWS, max_aggregate_rows: int | None = None):
+        self.spark, self.max_rounds, self.max_facts, self.local_rows, self.max_aggregate_rows = spark, max_rounds, max_facts, local_rows, max_aggregate_rows
         self.base: dict[Key, Relation] = {}
         self.columns: dict[Key, list[str]] = {}
         self.program = Program()
 
     # relations and rules
 
-    def register(self, name: str, df: DataFrame, unique: bool = False) -> Engine:
-        """df's rows as facts of name, by place. unique: no row occurs twice."""
+    def register(self, name: str, df: DataFrame, unique: bool = False, keys: tuple[str, ...] = ()) -> Engine:
+        """df's rows as facts of name, by place. unique: no row occurs twice; keys: columns whose values no two rows share."""
         key = (name, len(df.columns))
-        relation = Relation.of(df, unique)
+        relation = Relation.of(df, unique, tuple(df.columns.index(c) for c in keys) if keys else None)
         if key in self.base:
             relation = Relation(unify(name, [self.base[key].df, relation.df]), key[1])
         self.base[key], self.columns[key] = relation, df.columns
         return self
 
-    def register_table(self, name: str, path: str, unique: bool = False) -> Engine:
-        return self.register(name, self.spark.read.parquet(path), unique)
+    def register_table(self, name: str, path: str, unique: bool = False, keys: tuple[str, ...] = ()) -> Engine:
+        return self.register(name, self.spark.read.parquet(path), unique, keys)
+
+    def register_portable(self, name: str, df: DataFrame, most_rows: int = PORTABLE_ROWS, most_bytes: int = PORTABLE_BYTES) -> Engine:
+        """register() for values that any engine of these semantics reads alike: text and numbers that a double holds exactly.
+
+        Columns of other types are an error at once; more rows or bytes (of the values as text) than the bounds too. A null,
+        a number that is not finite or an integer beyond 2**53 - 1 ends the query that reads it.
+        """
+        if any(f.name in df.columns[:i] for i, f in enumerate(df.schema.fields)):
+            raise DatalogError(f"{name} has a column twice")
+        for f in df.schema.fields:
+            if kind_of(f.dataType) not in ("num", "str") or isinstance(f.dataType, DecimalType):
+                raise DatalogError(f"{name}.{f.name} holds {f.dataType.simpleString()}, which has no portable form")
+        size = F.lit(0)
+        for c in df.columns:
+            size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+        n, total = df.limit(most_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+        if n > most_rows or total > most_bytes:
+            raise LimitError(f"{name} has more than {most_rows} rows or {most_bytes} bytes")
+        return self.register(name, df.select(*(_portable(name, f) for f in df.schema.fields)))
+
+    def catalogue(self) -> DataFrame:
+        """(predicate, arity, place, name, type) of the registered relations; places count from 1."""
+        rows = [(k[0], k[1], i + 1, n, t) for k, r in self.base.items() for i, (n, (_, t)) in enumerate(zip(self.columns[k], r.df.dtypes))]
+        return self.spark.createDataFrame(rows, "predicate string, arity int, place int, name string, type string")
 
     def load(self, program: str | Program | Iterable[Clause]) -> Engine:
         clauses = parse_program(program) if isinstance(program, str) else program.clauses if isinstance(program, Program) else list(program)
@@ -71,7 +111,7 @@ class Engine:
         return self
 
     def copy(self) -> Engine:
-        out = Engine(self.spark, self.max_rounds, self.max_facts, self.local_rows)
+        out = Engine(self.spark, self.max_rounds, self.max_facts, self.local_rows, self.max_aggregate_rows)
         out.base, out.columns, out.program = dict(self.base), dict(self.columns), Program(list(self.program.clauses))
         return out
 
@@ -92,7 +132,7 @@ class Engine:
             if wanted is None or key in need:
                 own = _facts(self.spark, key, clauses)
                 db[key] = Relation(unify(key[0], [db[key].df, own.df]), key[1]) if key in db else own
-        compiler = _Compiler(self.spark, db.get)
+        compiler = _Compiler(self.spark, db.get, self.max_aggregate_rows)
         for group in groups(rules):
             own = [r for r in rules if r.head.key in group]
             if recursive(group, rules):
@@ -102,7 +142,7 @@ class Engine:
             frames = [compiler.rule(r) for r in own]
             if key in db:
                 frames.insert(0, db[key].df)
-            unique = len(frames) == 1 and own[0].aggregate is not None
+            unique = len(frames) == 1 and compiler.distinct
             df = unify(key[0], frames)
             db[key] = Relation(df if unique else df.distinct(), key[1], True)
             if self.max_facts is not None and db[key].df.limit(self.max_facts + 1).count() > self.max_facts:
@@ -114,7 +154,7 @@ class Engine:
         return small if small is not None else self._fixpoint_spark(group, rules, db)
 
     def _fixpoint_small(self, group: list[Key], rules: list[Clause], db: dict[Key, Relation]) -> dict[Key, Relation] | None:
-        """On the driver, if what the rules read and what follows from it is within local_rows; else None."""
+        """On the driver, if what the rules read is within local_rows, what follows from it within five times as many, and all of it exact there; else None."""
         reads = {k for r in rules for g in r.body for k in ([g.key] if isinstance(g, Lit) else [g.lit.key] if isinstance(g, Not) else [])} | set(group)
         left, rows = self.local_rows, {}
         if left <= 0:
@@ -122,18 +162,24 @@ class Engine:
         for key in sorted(reads):
             if key not in db:
                 continue
-            if any(k not in ("num", "str") for k in db[key].kinds):
+            if any(k not in ("num", "str") for k in db[key].kinds) or any(isinstance(f.dataType, DecimalType) for f in db[key].df.schema.fields):
                 return None
             if not key[1]:
                 rows[key] = [] if db[key].df.isEmpty() else [()]
                 continue
-            got = db[key].df.select(*(F.col(c).cast("double") if k == "num" else F.col(c) for c, k in zip(db[key].df.columns, db[key].kinds))).limit(left + 1).toArrow()
+            longs = [f.name for f in db[key].df.schema.fields if isinstance(f.dataType, LongType)]
+            large = F.lit(False)  # integers that a double doesn't hold exactly
+            for c in longs:
+                large = large | ~F.col(c).between(-PORTABLE_INT, PORTABLE_INT)
+            values = [F.col(c).cast("double") if k == "num" else F.col(c) for c, k in zip(db[key].df.columns, db[key].kinds)]
+            got = db[key].df.select(*values, large.alias("large")).limit(left + 1).toArrow()
             left -= got.num_rows
-            if left < 0 or any(c.null_count for c in got.columns):
+            if left < 0 or any(c.null_count for c in got.columns) or any(got["large"].to_pylist()):
                 return None
+            got = got.drop_columns(["large"])
             rows[key] = list(zip(*(c.to_pylist() for c in got.columns)))
         try:
-            done = Local(rules, rows, max_facts=10 * self.local_rows, max_rounds=self.max_rounds)
+            done = Local(rules, rows, max_facts=5 * self.local_rows, max_rounds=self.max_rounds)
         except LimitError:
             return None
         if self.max_facts is not None and any(len(done.relation(k).rows) > self.max_facts for k in group):
@@ -190,51 +236,65 @@ class Engine:
         return seeds
 
     def _fixpoint_spark(self, group: list[Key], rules: list[Clause], db: dict[Key, Relation]) -> dict[Key, Relation]:
-        """Semi-naive rounds; each round's new rows are written to the shared folder, which ends their lineage."""
+        """Semi-naive rounds; each round's new rows are written to the shared folder, which ends their lineage.
+
+        A predicate's rows are in one table, with a partition for each round and in buckets by their hash: a round's candidates
+        go to the buckets, are made distinct and compared there with what earlier rounds found, which stays where it is.
+        """
         seeds = self._seeds(group, rules, db)
         schemas = {k: r.df.schema for k, r in seeds.items()}
-        paths: dict[Key, list[str]] = {k: [] for k in group}
-
-        def store(k: Key, df: DataFrame) -> DataFrame | None:
-            """df as written; None if it is empty."""
-            path = new_path(self.spark, f"round-{k[0][:20] if k[0].isalnum() else 'p'}")
-            df.write.parquet(path)
-            back = self.spark.read.schema(schemas[k]).parquet(path)
-            if back.isEmpty():
-                return None
-            paths[k].append(path)
-            return back
-
-        def total(k: Key) -> DataFrame:
-            return self.spark.read.schema(schemas[k]).parquet(*paths[k]) if paths[k] else self.spark.createDataFrame([], schemas[k])
-
-        delta = {k: d for k in group if (d := store(k, seeds[k].df.distinct())) is not None}
-        now = dict(db)
-        for _ in range(self.max_rounds):
-            if not delta:
-                return {k: Relation(total(k), k[1], True) for k in group}
-            now.update({k: Relation(total(k), k[1], True) for k in group})
-            compiler = _Compiler(self.spark, now.get)
-            found: dict[Key, list[DataFrame]] = {}
-            for r in rules:
-                for at, g in enumerate(r.body):
-                    if isinstance(g, Lit) and g.key in delta:
-                        found.setdefault(r.head.key, []).append(compiler.rule(r, {at: Relation(delta[g.key], g.key[1], True)}))
-            new: dict[Key, DataFrame] = {}
-            for k, frames in found.items():
-                df = unify(k[0], frames).distinct()
-                df = df.select(*(F.col(c).cast(f.dataType).alias(c) for c, f in zip(df.columns, schemas[k].fields)))
-                old = now[k].df.toDF(*(f"old_{c}" for c in df.columns))
-                cond = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in df.columns]
-                from .compiler import all_of
-
-                stored = store(k, df.join(old, all_of(cond), "left_anti"))
-                if stored is not None:
-                    new[k] = stored
-                if self.max_facts is not None and total(k).limit(self.max_facts + 1).count() > self.max_facts:
-                    raise LimitError(f"{k[0]}/{k[1]} has more than {self.max_facts} facts")
-            delta = new
-        raise LimitError(f"more than {self.max_rounds} rounds")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        paths = {k: new_path(self.spark, "rounds") for k in group}
+        names = {k: "sylloge_" + paths[k].rsplit("-", 1)[1] for k in group}
+        made: set[Key] = set()
+        sizes = dict.fromkeys(group, 0)
+
+        def hashed(df: DataFrame) -> DataFrame:
+            return df.withColumn("h", F.xxhash64(*df.columns)).repartition(buckets, "h").distinct()
+
+        def store(k: Key, df: DataFrame, n: int) -> bool:
+            """Whether df had rows; they are written as those of round n."""
+            seen = Observation()
+            df = df.withColumn("round", F.lit(n)).observe(seen, F.count(F.lit(1)).alias("rows"))
+            df.write.mode("append").format("parquet").option("path", paths[k]).partitionBy("round").bucketBy(buckets, "h").saveAsTable(names[k])
+            made.add(k)
+            sizes[k] += seen.get["rows"]
+            if self.max_facts is not None and sizes[k] > self.max_facts:
+                raise LimitError(f"{k[0]}/{k[1]} has more than {self.max_facts} facts")
+            return seen.get["rows"] > 0
+
+        def rows(k: Key, n: int | None = None) -> Relation:
+            df = self.spark.table(names[k]) if n is None else self.spark.table(names[k]).where(F.col("round") == n)
+            return Relation(df.select(*schemas[k].names), k[1], True)
+
+        try:
+            delta = {k for k in group if store(k, hashed(seeds[k].df), 0)}
+            for n in range(1, self.max_rounds + 1):
+                if not delta:
+                    whole = {k: self.spark.read.schema(schemas[k]).parquet(paths[k]).select(*schemas[k].names) if sizes[k] else self.spark.createDataFrame([], schemas[k]) for k in group}
+                    return {k: Relation(df, k[1], True) for k, df in whole.items()}
+                now = {**db, **{k: rows(k) for k in group}}
+                news = {k: rows(k, n - 1) for k in delta}
+                compiler = _Compiler(self.spark, now.get)
+                found: dict[Key, list[DataFrame]] = {}
+                for r in rules:
+                    for at, g in enumerate(r.body):
+                        if isinstance(g, Lit) and g.key in delta:
+                            found.setdefault(r.head.key, []).append(compiler.rule(r, {at: news[g.key]}))
+                delta = set()
+                for k, frames in found.items():
+                    df = unify(k[0], frames)
+                    df = hashed(df.select(*(F.col(c).cast(f.dataType).alias(c) for c, f in zip(df.columns, schemas[k].fields))))
+                    old = self.spark.table(names[k]).select(F.col("h").alias("old_h"), *(F.col(c).alias(f"old_{c}") for c in schemas[k].names))
+                    # the columns are compared so that only the hash is a join key, by which both sides lie in buckets
+                    mine, theirs = [F.col(c) for c in schemas[k].names], [F.col(f"old_{c}") for c in schemas[k].names]
+                    same = F.struct(*mine, *theirs).eqNullSafe(F.struct(*theirs, *mine))
+                    if store(k, df.join(old, (F.col("h") == F.col("old_h")) & same, "left_anti"), n):
+                        delta.add(k)
+            raise LimitError(f"more than {self.max_rounds} rounds")
+        finally:
+            for k in made:
+                self.spark.sql(f"DROP TABLE IF EXISTS {names[k]}")  # the files stay
 
     # answers
 
@@ -244,13 +304,14 @@ class Engine:
         keys = {g.key if isinstance(g, Lit) else g.lit.key for g in q.body if not isinstance(g, Cmp)}
         self._arities(q)
         db = self.derive(keys)
-        compiler = _Compiler(self.spark, db.get)
+        compiler = _Compiler(self.spark, db.get, self.max_aggregate_rows)
         if q.aggregate:
             return compiler.aggregated(q.aggregate, q.body, []).toDF(q.aggregate.out)
         bound = compiler.body(q.body, set(q.columns))
         if not q.columns:
             return bound.df.limit(1).select()
-        df = bound.df.select(*(bound.col(v).alias(v) for v in q.columns)).distinct()
+        df = bound.df.select(*(bound.col(v).alias(v) for v in q.columns))
+        df = df if bound.distinct_on(q.columns) else df.distinct()
         return df if limit is None else df.limit(limit)
 
     def _arities(self, q: Query) -> None:
