@@ -41,6 +41,8 @@ PROBE = 6.0
 TASK_ROWS = 300_000
 BLOCK = 1 << 21
 KEY_ROWS = 4_000_000
+#: Documents to remove that may be broadcast (about 100 MB), so that texts stay where they are; more are joined by a shuffle.
+BROADCAST_GONE = 2_000_000
 
 _SEEDS = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D)]
 _COLUMNS = ["a", "b", "c", "d"]
@@ -420,6 +422,7 @@ def remove_near_duplicates(docs: DataFrame, tau: int = TAU, confirm: int = CONFI
     """
     found = _grouped(docs, tau, confirm, text, doc_id).where("id <> kept.id OR h <> kept.h")
     names = [fresh(docs, "gone_id"), fresh(docs, "gone_text")]
-    gone = found.select(F.col("id").alias(names[0]), F.col("h").alias(names[1])).distinct()
+    gone = written(found.select(F.col("id").alias(names[0]), F.col("h").alias(names[1])).distinct(), "simhash-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
     same = (docs[doc_id].cast("long") == gone[names[0]]) & (F.xxhash64(docs[text].cast("string")) == gone[names[1]])
     return docs.join(gone, same & docs[text].isNotNull(), "left_anti")
