@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IRREGULAR = {"are": "be", "been": "be", "is": "be", "was": "be", "were": "be", "children": "child", "grandchildren": "grandchild", "had": "have", "has": "have"}
+#: Words with a stem of their own.
+IRREGULAR = {"are": "be", "been": "be", "is": "be", "was": "be", "were": "be", "children": "child", "grandchildren": "grandkin", "had": "have", "has": "have"}
 #: Words that searches leave out.
 STOP = tuple(
     "i me my we our ours you your he him his she her hers it its they them their "
@@ -17,9 +18,10 @@ FUZZY = (4, 64)
 
 def stem(w: Column) -> Column:
     n = F.length(w)
-    out = F.when(w.isin(*[k for k, v in IRREGULAR.items() if v == "be"]), "be")
-    out = out.when(w == "children", "child").when(w == "grandchildren", "grandkin").when(w.isin("had", "has"), "have")
-    out = out.when((n > 5) & w.endswith("ies"), F.concat(F.expr("''"), F.regexp_replace(w, "ies$", "y")))
+    out = F
+    for of in dict.fromkeys(IRREGULAR.values()):
+        out = out.when(w.isin(*[k for k, v in IRREGULAR.items() if v == of]), of)
+    out = out.when((n > 5) & w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
     out = out.when((n > 5) & w.endswith("ing"), F.regexp_replace(w, "ing$", "")).when((n > 4) & w.endswith("ed"), F.regexp_replace(w, "ed$", ""))
     out = out.when((n > 4) & w.endswith("s"), F.regexp_replace(w, "s$", "")).otherwise(w)
     return F.when(out.isin("grandchild", "grandparent"), "grandkin").otherwise(out)

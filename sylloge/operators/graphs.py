@@ -48,7 +48,8 @@ def neighbourhood(inc: DataFrame, start: str, depth: int = 1, most: int = 100) -
         if not got.num_rows:
             break
         entities = inc.join(F.broadcast(new), "claim", "left_semi").select("entity").distinct().join(F.broadcast(seen_e), "entity", "left_anti")
-        entities = spark.createDataFrame(entities.limit(MAX_CLAIMS * 64).toArrow())
+        # claims are at most MAX_CLAIMS, and a claim has as many entities as its predicate has places
+        entities = spark.createDataFrame(entities.toArrow())
         seen_e = seen_e.union(entities)
     return out
 
@@ -82,8 +83,11 @@ def shortest_paths(inc: DataFrame, start: str, goal: str, depth: int = 4, most:
     for step in reversed(levels):
         heads = sorted({c[0] for c in chains})
         before: dict[str, list[tuple[str, str]]] = {}
-        for r in step.where(F.col("entity").isin(heads)).limit(most * 64 + 1).collect():
+        # each way into a head starts another path, as every level leads back to the start
+        for r in step.where(F.col("entity").isin(heads)).limit(most + 1).collect():
             before.setdefault(r["entity"], []).append((r["come"], r["claim"]))
+        if sum(map(len, before.values())) > most:
+            raise LimitError(f"more than {most} paths")
         chains = [[come, claim, *c] for c in chains for come, claim in sorted(before[c[0]])]
         if len(chains) > most:
             raise LimitError(f"more than {most} paths")

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+import re
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FUZZY, STOP, nearly, search_words, words
 from ..functions.vectors import cosine
-from ..plans.syntax import Atom, Clause, Lit, Not, Num, canonical, write
+from ..plans.local import LimitError
+from ..plans.syntax import Atom, Clause, DatalogError, Lit, Not, Num, canonical, write
+from ..sources.scratch import hadoop, new_path, written
 
 POINTS = {"source_phrase": 180, "clause_phrase": 160, "head_predicate": 120, "body_predicate": 70, "term": 60, "source_word": 45, "fuzzy_predicate": 30, "clause_word": 20}
 KINDS = {"fact": 0, "rule": 1, "constraint": 2}
+#: Different words of queries that may be broadcast; characters of a term whose words count for a predicate.
+BROADCAST_WORDS, TERM_CHARS = 1_000_000, 256
+#: Words of questions about the past.
+TEMPORAL = re.compile(r"\b(?:" + "|".join("before former formerly historical history past previous previously prior".split() + ["used to"]) + r")\b", re.I)
 CLAUSES = "clause string, kind string, head string, body array<string>, terms array<string>, source string"
 
 
@@ -80,17 +90,22 @@ def document_search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: st
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text", least: int = 3) -> DataFrame:
     """(query_id, doc_id, score, rank) by BM25 with idf ln((N + 1) / (df + 1)) + 1 over words of at least 3 characters.
 
-    Only postings of words that a query holds are joined; lengths and document counts are of all words.
+    Texts are split once, in a job of its own; only postings of words that a query holds are kept. Lengths and document
+    counts are of all words.
     """
     split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= least)
-    base = docs.select(F.col(doc_id).alias("doc_id"), split(F.col(text)).alias("ws"))
-    stats = base.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("mean")).first()
-    n, mean = stats["n"], max(stats["mean"] or 0.0, 1e-9)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(split(F.col(text)))).alias("w"))
-    tf = base.select("doc_id", F.size("ws").alias("len"), F.explode("ws").alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("w", "doc_id", "len").agg(F.count("*").alias("tf"))
+    wanted = asked.select("w").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_WORDS else wanted
+    seen = Observation()
+    base = docs.select(F.col(doc_id).alias("doc_id"), split(F.col(text)).alias("ws"))
+    base = base.observe(seen, F.count("*").alias("n"), F.sum(F.size("ws")).alias("words"))
+    tf = base.select("doc_id", F.size("ws").alias("len"), F.explode("ws").alias("w")).join(wanted, "w", "left_semi").groupBy("w", "doc_id", "len").agg(F.count("*").alias("tf"))
+    tf = written(tf, "postings")  # one pass over the texts gives postings, their number and the mean length
+    n, mean = seen.get["n"], max((seen.get["words"] or 0) / max(seen.get["n"], 1), 1e-9)
     df = tf.groupBy("w").agg((F.log(F.lit(n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scored = asked.join(tf.join(df, "w"), "w").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    scored = tf.join(asked.join(df, "w"), "w").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -121,14 +136,70 @@ def chunks(text: Column, size: int = 2048, overlap: int = 256, most: int = 10) -
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
 
 
+def embedding_key(model: str, text: Column) -> Column:
+    """SHA-256 of model, NUL and text, by which embeddings are kept."""
+    return F.sha2(F.concat(F.lit(model + "\0"), text), 256)
+
+
 def missing_embeddings(texts: DataFrame, cache: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """(key, text) of the texts that a cache with the column key lacks; the key is SHA-256 of model, NUL and text."""
-    keyed = texts.select(F.sha2(F.concat(F.lit(model + "\0"), F.col(text)), 256).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    """(key, text) of the texts that a cache with the column key lacks."""
+    keyed = texts.select(embedding_key(model, F.col(text)).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
     return keyed.join(cache.select("key"), "key", "left_anti")
 
 
-def overlap_topk(docs: DataFrame, queries: DataFrame, k: int, **names: str) -> DataFrame:
-    return document_search(docs, queries, k, **names)
+#: A model: from a list of texts to as many vectors. It must be a function that tasks can load.
+Embed = Callable[[list[str]], list[list[float]]]
+
+
+class EmbeddingCache:
+    """Vectors as Parquet under a path, by embedding_key(): each batch of texts is a folder of its own."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or new_path(spark, "embeddings")
+        self.folder, self.fs = hadoop(spark, self.path)
+
+    def table(self) -> DataFrame:
+        """(key, vector)"""
+        if not self.fs.exists(self.folder):
+            return self.spark.createDataFrame([], "key string, vector array<double>")
+        return self.spark.read.schema("key string, vector array<double>").option("recursiveFileLookup", "true").parquet(self.path)
+
+    def prepare(self, texts: DataFrame, model: str, embed: Embed, text: str = "text", batch: int = 256) -> int:
+        """Embeds the texts that the cache lacks, in batches inside the tasks; how many. A vector with a number that isn't finite is an error."""
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for a in range(0, part.num_rows, batch):
+                    piece = part.slice(a, batch)
+                    vectors = embed(piece["text"].to_pylist())
+                    if len(vectors) != piece.num_rows or not all(math.isfinite(x) for v in vectors for x in v):
+                        raise ValueError("the model gave vectors that can't be used")
+                    yield pa.RecordBatch.from_arrays([piece["key"], pa.array(vectors, pa.list_(pa.float64()))], ["key", "vector"])
+
+        seen = Observation()
+        missing = missing_embeddings(texts.where(F.col(text).isNotNull()), self.table(), model, text)
+        found = missing.mapInArrow(run, "key string, vector array<double>").observe(seen, F.count("*").alias("n"))
+        found.write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
+        return seen.get["n"]
+
+
+def semantic_search(
+    docs: DataFrame, queries: DataFrame, cache: EmbeddingCache, model: str, embed: Embed, k: int = 20, candidates: int = 100, guard: tuple[int, float] | None = (120, 1.5),
+    doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text",
+) -> DataFrame:
+    """(query_id, doc_id, similarity, rank): the best lexical candidates of each query by the largest cosine of their chunks.
+
+    The candidates are document_search()'s; their chunks and the queries are embedded where the cache lacks them.
+    """
+    found = written(document_search(docs, queries, candidates, doc_id, query_id, text), "candidates")
+    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    pieces = written(some.select("doc_id", F.explode(chunks(F.col("text"))).alias("text")), "chunks")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("text"))
+    cache.prepare(pieces.select("text").union(asked.select("text")), model, embed)
+    table = cache.table()
+    vectors = pieces.withColumn("key", embedding_key(model, F.col("text"))).join(table, "key").select("doc_id", "vector")
+    own = asked.withColumn("key", embedding_key(model, F.col("text"))).join(table, "key").select("query_id", "vector")
+    return rerank(found, vectors, own, k, guard)
 
 
 def recency_topk(events: DataFrame, by: list[str], ts: str, k: int, tie: str) -> DataFrame:
@@ -162,25 +233,94 @@ def latency(times: DataFrame, column: str) -> DataFrame:
 
 
 def rank_predicates(clauses: DataFrame, text: str) -> DataFrame:
-    """(predicate, score): predicates by their names', facts' and rules' words in a question.
+    """(predicate, score, source): predicates by their names', facts' and rules' words in a question; source is the part of source texts.
 
-    A name's words give 100 each, all of them 200 more, one edit away 50; words of its facts 30 and of its
-    rules 10; of source texts 40.
+    A name's words give 100 each, the whole name 200 more, one edit away 50; different words of its facts 30 and of
+    its rules 10 each; 80 where the question is about the past and the predicate an archive; words of source texts 40 each and the
+    whole question in one 120.
     """
-    spark = clauses.sparkSession
-    own = spark.range(1).select(search_words(F.lit(text)).alias("w")).first()["w"]
-    asked = F.array(*map(F.lit, own)) if own else F.array().cast("array<string>")
-    df = clauses.where("head <> ''").select(F.col("head").alias("predicate"), "kind", F.array_distinct(words(F.col("head"))).alias("name"), F.array_distinct(words(F.concat_ws(" ", "terms"))).alias("terms"), F.array_distinct(words(F.concat_ws(" ", "body"))).alias("body"), F.array_distinct(words(F.col("source"))).alias("source"))
-    n = lambda c: F.size(F.array_intersect(asked, F.col(c)))
-    near = F.size(F.filter(F.array_except(F.col("name"), asked), lambda p: F.exists(asked, lambda w: nearly(p, w))))
-    name = n("name") * 100 + F.when((F.size("name") > 0) & (n("name") == F.size("name")), 200).otherwise(0) + near * 50
-    more = F.when(F.col("kind") == "fact", n("terms") * 30).otherwise(n("body") * 10) + n("source") * 40
-    grouped = df.select("predicate", name.alias("name"), more.alias("more")).groupBy("predicate").agg((F.max("name") + F.max("more")).alias("score"))
-    return grouped.where("score > 0")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    asked = F.array_distinct(words(F.lit(text)))
+    low = text.strip().lower()
+    sized = lambda c: F.filter(c, lambda w: F.length(w).between(*FUZZY))
+    terms = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(c, lambda t: F.length(t) <= TERM_CHARS), words)))
+    hits = lambda c: F.array_intersect(c, asked)
+    df = clauses.where("head <> ''").select(
+        F.col("head").alias("predicate"), hits(F.when(F.col("kind") == "fact", terms(F.col("terms"))).otherwise(F.array().cast("array<string>"))).alias("facts"),
+        hits(F.when(F.col("kind") == "fact", F.array().cast("array<string>")).otherwise(terms(F.col("body")))).alias("rules"),
+        hits(words(F.col("source"))).alias("source"), F.contains(F.lower("source"), F.lit(low)).alias("phrase") if low else F.lit(False).alias("phrase"),
+    )
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
+    per = df.groupBy("predicate").agg(*(union(c).alias(c) for c in ("facts", "rules", "source")), F.max("phrase").alias("phrase"))
+    name = F.array_distinct(words(F.col("predicate")))
+    near = F.size(F.filter(F.array_except(sized(name), asked), lambda p: F.exists(sized(asked), lambda w: nearly(p, w))))
+    source = F.col("source") * 40 + F.when(F.col("phrase"), 120).otherwise(0)
+    score = F.size(hits(name)) * 100 + F.when(F.contains(F.lit(text.lower()), F.lower("predicate")), 200).otherwise(0) + near * 50 + F.col("facts") * 30 + F.col("rules") * 10
+    score += F.when(F.lit(bool(TEMPORAL.search(text))) & F.col("predicate").endswith("_until"), 80).otherwise(0)
+    return per.select("predicate", (score + source).alias("score"), source.alias("source"))
+
+
+class BudgetError(DatalogError):
+    """What belongs to the best predicate doesn't fit into the bounds."""
+
+
+def select_schema(clauses: list[Clause], spark: SparkSession, text: str, most: int = 8, sources: dict[str, str] | None = None) -> list[str]:
+    """The predicates, as name/arity, that a question is about, the best first: each with all that its rules rest on.
+
+    With a question about the past, and for archives, a predicate comes with its archive or the one that it archives. A predicate
+    whose dependencies don't all fit among `most` is left out; the best one, if anything speaks for it, is an error then.
+    """
+    if not 1 <= most <= 256:
+        raise ValueError("most must be from 1 to 256")
+    if len(clauses) > 100_000:
+        raise LimitError("more than 100,000 clauses")
+    scores = {r["predicate"]: r["score"] for r in rank_predicates(clause_table(spark, clauses, sources), text).collect()}
+    needs: dict[tuple[str, int], set] = {c.head.key: set() for c in clauses if c.head}
+    if len(needs) > 10_000:
+        raise LimitError("more than 10,000 predicates")
+    for c in clauses:
+        if c.head:
+            needs[c.head.key] |= {k for g in c.body if isinstance(g, (Lit, Not)) for k in [g.lit.key if isinstance(g, Not) else g.key] if k in needs}
+    past = bool(TEMPORAL.search(text))
+
+    def closure(start: tuple[str, int]) -> set:
+        out, todo = set(), [start]
+        while todo:
+            k = todo.pop()
+            if k in out or k not in needs:
+                continue
+            out.add(k)
+            todo += needs[k]
+            if k[0].endswith("_until"):
+                todo.append((k[0].removesuffix("_until"), k[1] - 1))
+            elif past:
+                todo.append((k[0] + "_until", k[1] + 1))
+        return out
+
+    label = lambda k: f"{k[0]}/{k[1]}"
+    ranked, chosen = sorted(needs, key=lambda k: (-scores.get(k[0], 0), label(k))), set()
+    for k in ranked:
+        more = closure(k) - chosen
+        if len(chosen) + len(more) <= most:
+            chosen |= more
+        elif not chosen and scores.get(k[0], 0) > 0:
+            raise BudgetError(f"{label(k)} and what it rests on are more than {most} predicates")
+        if len(chosen) >= most:
+            break
+    if needs and not chosen:
+        raise BudgetError(f"no predicate with all that it rests on fits among {most}")
+    return [label(k) for k in ranked if k in chosen]
+
+
+def near_words(words_: DataFrame, column: str = "w") -> DataFrame:
+    """(a, b), a < b: the different words of 4 to 64 characters that one edit tells apart.
+
+    Such words share one of the strings that deleting one character or none leaves, on which they are joined.
+    """
+    one = words_.select(F.col(column).alias("w")).where(F.length("w").between(*FUZZY)).distinct()
+    left = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), 1, i - 1), F.substring(F.col("w"), i + 1, F.lit(FUZZY[1]))))
+    forms = one.select("w", F.explode(F.array_distinct(F.concat(F.array("w"), left))).alias("form"))
+    a, b = forms.select(F.col("w").alias("a"), "form"), forms.select(F.col("w").alias("b"), "form")
+    return a.join(b, "form").where((F.col("a") < F.col("b")) & nearly(F.col("a"), F.col("b"))).select("a", "b").distinct()
 
 
 __all__ = ["FUZZY", "STOP", "bm25", "document_search", "rerank", "search"]

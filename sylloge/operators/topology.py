@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.engine import Engine
-from ..plans.stratify import Key, components, edges, reachable, recursive, strata
-from ..plans.syntax import DatalogError, Lit, Not, canonical, goal_vars, write
+from ..plans.stratify import Key, components, edges, recursive, strata
+from ..plans.syntax import DatalogError, Lit, Not, canonical, goal_vars
 from .policy import Check, check_integrity, constraints, rule_coverage, run_checks
 
 name = lambda k: f"{k[0]}/{k[1]}"
@@ -24,22 +24,23 @@ class Topology:
     groups: list[list[Key]] = field(default_factory=list)
 
 
-def fact_counts(e: Engine) -> dict[Key, int]:
-    """Rows of each relation and program facts, each predicate counted once over distinct rows."""
+def fact_counts(e: Engine, exact: bool = True) -> dict[Key, int]:
+    """Different rows of each relation and program facts; unless exact, 1 where a relation has any, which reads a row of it only."""
     out: dict[Key, int] = {}
     given: dict[Key, set[str]] = {}
     for c in e.program.facts:
         given.setdefault(c.head.key, set()).add(canonical(c))
     for k, r in e.base.items():
-        out[k] = r.distinct().df.count()
+        out[k] = r.distinct().df.count() if exact else int(not r.df.isEmpty())
     for k, texts in given.items():
         out[k] = out.get(k, 0) + len(texts)
     return out
 
 
-def topology(e: Engine) -> Topology:
+def topology(e: Engine, exact: bool = True) -> Topology:
+    """exact: with the numbers of facts, which reads all relations; otherwise facts only says whether there are any."""
     rules = e.program.rules
-    level, counts = strata(rules), fact_counts(e)
+    level, counts = strata(rules), fact_counts(e, exact)
     needs: dict[Key, set[Key]] = {}
     for head, need, _ in edges(rules):
         needs.setdefault(head, set()).add(need)
@@ -92,7 +93,7 @@ def focus(t: Topology, start: str, direction: str = "both", depth: int | None =
 
 def audit_rules(e: Engine) -> list[dict]:
     """Findings by code, in order: what is negated but never given, constraints that can't fire, recursion without a start and so on."""
-    t, rules, out = topology(e), e.program.rules, []
+    t, rules, out = topology(e, exact=False), e.program.rules, []
     add = lambda code, subject, detail: out.append({"code": code, "subject": subject, "detail": detail})
     is_open = {k for k, v in t.predicates.items() if v["open"]}
     for i, r in enumerate(rules):
@@ -165,10 +166,4 @@ def health(e: Engine, suite: list[Check] | None = None, minimum_percent: float =
 
 def topology_edges(e: Engine) -> DataFrame:
     """topology()'s edges as (source, target, how)."""
-    return e.spark.createDataFrame(topology(e).edges, "source string, target string, how string").orderBy(F.col("source"), F.col("target"))
-
-
-def unused(e: Engine, query_keys: set[Key]) -> list[str]:
-    """Rules that no answer of the given predicates can rest on."""
-    need = reachable(query_keys, e.program.rules)
-    return [write(r) for r in e.program.rules if r.head.key not in need]
+    return e.spark.createDataFrame(topology(e, exact=False).edges, "source string, target string, how string").orderBy(F.col("source"), F.col("target"))

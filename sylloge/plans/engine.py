@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType, LongType, Stru
 
 from ..sources.scratch import new_path
 from .compiler import Compiler, Relation, all_of, kind_of, unify
-from .local import LimitError, Local
+from .local import LimitError, Local, Work, fact_text
 from .stratify import Key, groups, reachable, recursive
 from .syntax import Arith, Clause, Cmp, DatalogError, Lit, Not, Num, Program, Query, Var, Wild, goal_vars, parse_program, parse_query, write_atom
 
@@ -19,6 +20,8 @@ from .syntax import Arith, Clause, Cmp, DatalogError, Lit, Not, Num, Program, Qu
 LOCAL_ROWS = 10_000
 
 
+#: Bounds of native programs: rules, relations they read, their rows, rounds, rows looked at, and depth of a proof.
+NATIVE_RULES, NATIVE_RELATIONS, NATIVE_ROWS, NATIVE_ROUNDS, NATIVE_STEPS, NATIVE_DEPTH = 16, 32, 100_000, 1_000, 10_000_000, 128
 #: Bounds of relations that register_portable() takes, and the largest integer in them.
 PORTABLE_ROWS, PORTABLE_BYTES, PORTABLE_INT = 100_000, 16 << 20, 2**53 - 1
 
@@ -379,7 +382,63 @@ class Engine:
         edges = bound.df.select(key(head).alias("derived"), F.lit(rule).alias("rule"), F.inline(inputs))
         return edges.distinct()
 
-    def local(self, text: str | Query | None = None, max_facts: int = 100_000) -> Local:
+    def materialize_proved(self, max_facts: int = 100_000, **bounds) -> DataFrame:
+        """(predicate, fact, derived, proof): every fact with its first proof as JSON; an error for more than max_facts facts."""
+        done = self.local(max_facts=max_facts)
+        rows = [
+            (f"{k[0]}/{k[1]}", fact_text(k[0], row), row not in done.base.get(k, ()), json.dumps(done.proof((k, row), **bounds), sort_keys=True))
+            for k, r in done.db.items() for row in r.rows
+        ]
+        return self.spark.createDataFrame(rows, "predicate string, fact string, derived boolean, proof string")
+
+    def _native(self, text: str, work: Work | None = None) -> tuple[Clause, Local]:
+        """The program text, of rules with one head, over the registered relations within the native bounds."""
+        if self.execution_mode(text) != "native":
+            raise DatalogError("a native program has rules with one head predicate, without negation, aggregates, arithmetic and constraints")
+        rules = [c for c in parse_program(text) if c.is_rule]
+        names = [t.name for t in rules[0].head.args if isinstance(t, Var)]
+        if len(rules) > NATIVE_RULES or len(names) < len(rules[0].head.args) or len(set(names)) < len(names):
+            raise DatalogError(f"a native program has at most {NATIVE_RULES} rules, and different variables in its first head")
+        read = {g.key for r in rules for g in r.body if isinstance(g, Lit)} - {rules[0].head.key}
+        if missing := read - set(self.base):
+            raise DatalogError(f"no table {sorted(missing)[0][0]}")
+        if len(read) > NATIVE_RELATIONS:
+            raise LimitError(f"more than {NATIVE_RELATIONS} relations")
+        e = Engine(self.spark, NATIVE_ROUNDS)
+        e.base = {k: self.base[k] for k in read}
+        rows = e.local(max_facts=NATIVE_ROWS).db
+        return rules[0], Local(rules, {k: r.rows for k, r in rows.items()}, max_facts=2 * NATIVE_ROWS, max_rounds=NATIVE_ROUNDS, max_steps=NATIVE_STEPS, work=work)
+
+    def native_query(self, text: str) -> str:
+        """The head's rows as a JSON array of objects, of at most PORTABLE_BYTES; the rules' bounds are the NATIVE_ ones."""
+        return self._native_json(text, False)
+
+    def native_explain(self, text: str) -> str:
+        """native_query() with proofs: [{row: {variable: value}, proof: {predicate, values, rule, because: [...]}}]; facts of tables have no rule."""
+        return self._native_json(text, True)
+
+    def _native_json(self, text: str, explain: bool) -> str:
+        first, done = self._native(text)
+        head, shown = first.head, lambda v: int(v) if isinstance(v, float) and v.is_integer() and abs(v) <= PORTABLE_INT else v
+
+        def proof(ref, depth: int = 0) -> dict:
+            if depth > NATIVE_DEPTH:
+                raise LimitError(f"a proof is deeper than {NATIVE_DEPTH}")
+            (name, _), row = ref
+            why = done.relation(ref[0]).rows[row]
+            out = {"predicate": name, "values": [shown(v) for v in row]}
+            return out if why is None else out | {"rule": done.numbers[why[0]], "because": [proof(r, depth + 1) for r in why[1]]}
+
+        out = []
+        for row in done.relation(head.key).rows:
+            named = {t.name: shown(v) for t, v in zip(head.args, row)}
+            out.append({"row": named, "proof": proof((head.key, row))} if explain else named)
+        found = json.dumps(out, separators=(",", ":"), ensure_ascii=False)
+        if len(found.encode()) > PORTABLE_BYTES:
+            raise LimitError(f"more than {PORTABLE_BYTES} bytes")
+        return found
+
+    def local(self, text: str | Query | None = None, max_facts: int = 100_000, work: Work | None = None) -> Local:
         """The program in the driver's memory with what the query needs: for proofs. An error for more than max_facts."""
         keys = None
         if text is not None:
@@ -395,7 +454,7 @@ class Engine:
                 rows[key] = [tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in x) for x in got] if key[1] else [()] * bool(got)
         clauses = [c for c in self.program.clauses if c.head and (keys is None or c.head.key in keys)]
         numbers = [i + 1 for i, c in enumerate(self.program.rules) if keys is None or c.head.key in keys]
-        return Local(clauses, rows, max_facts=max_facts, numbers=numbers)
+        return Local(clauses, rows, max_facts=max_facts, numbers=numbers, work=work)
 
     def explain(self, text: str | Query, **bounds) -> list[tuple[dict, list]]:
         """Rows with the first proof of each goal, over at most 100,000 facts."""

@@ -8,186 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.text import HANDED, REDACTED, SENSITIVE, nearly
 from ..functions.text import redact as redact_text
 from ..functions.vectors import cosine
-from ..operators import graphs, policy, reasoning, recall, retrieval, topology
-from ..sources import files, journal
+from ..operators import graphs, recall, retrieval
+from ..sources import files
 from .engine import Engine
+from . import registered_store  # noqa: F401
+from .registered_rules import table
 from .registry import add, warehouse
 from .syntax import parse_program
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-# -- policy -------------------------------------------------------------------------------------------
-
-_POLICY = ":- customer(C,_,_,B,_), B < -900. :- supplier(S,_,N,_), customer(C,_,N,A,_), A > 9950, S < 20."
-
-
-@add("integrity_violations", """SELECT 1 AS "constraint", to_json({'C': c_custkey::VARCHAR, 'B': c_acctbal::VARCHAR}) AS bindings, c_custkey::VARCHAR AS "first" FROM customer WHERE c_acctbal < -900
-    UNION ALL SELECT DISTINCT 2, to_json({'S': s_suppkey::VARCHAR, 'N': s_nationkey::VARCHAR, 'C': c_custkey::VARCHAR, 'A': c_acctbal::VARCHAR}), s_suppkey::VARCHAR
-    FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9950 AND s_suppkey < 20""")
-def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.violations(warehouse(spark, sf_dir, ("customer", "supplier")).load(_POLICY)).drop("text")
-
-
-@add("conflict_clusters", """SELECT s_suppkey::VARCHAR AS subject, count(*)::BIGINT AS n FROM (SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9950 AND s_suppkey < 20) GROUP BY 1""")
-def conflict_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = warehouse(spark, sf_dir, ("customer", "supplier")).load(_POLICY)
-    return policy.conflict_clusters(e).where("constraint = 2").select("subject", "n")
-
-
-@add("enforcement_new_violations", """SELECT to_json({'C': c_custkey::VARCHAR, 'B': c_acctbal::VARCHAR}) AS bindings FROM customer WHERE c_acctbal >= -950 AND c_acctbal < -900""")
-def enforcement_new_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What constraints find once the threshold moves: compared on bindings."""
-    a = warehouse(spark, sf_dir, ("customer",)).load(":- customer(C,_,_,B,_), B < -950.")
-    b = warehouse(spark, sf_dir, ("customer",)).load(":- customer(C,_,_,B,_), B < -900.")
-    return policy.violations(b).select("bindings").exceptAll(policy.violations(a).select("bindings"))
-
-
-@add("what_if_delta", """WITH a AS (SELECT DISTINCT s_nationkey AS n FROM supplier), b AS (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_suppkey <> 3 UNION SELECT 99)
-    SELECT coalesce(a.n, b.n)::BIGINT AS "N", CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.n = b.n""")
-def what_if_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = warehouse(spark, sf_dir, ("supplier",)).load("served(N) :- supplier(_,_,N,_).")
-    after = policy.what_if(e, policy.Change(assume=("supplier(1000000, extra, 99, 0)",), without=("supplier(3,_,_,_)",)))
-    return policy.result_delta(e, after, "served(N)")
-
-
-@add("integrity_delta", """SELECT 'resolved' AS change, to_json({'C': c_custkey::VARCHAR, 'B': c_acctbal::VARCHAR}) AS bindings FROM customer WHERE c_acctbal < -900 AND c_nationkey = 7
-    UNION ALL SELECT 'introduced', '{"C":"-1","B":"-5000.0"}'""")
-def integrity_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = warehouse(spark, sf_dir, ("customer",)).load(":- customer(C,_,_,B,_), B < -900.")
-    after = policy.what_if(e, policy.Change(assume=("customer(-1, new, 3, -5000, x)",), without=("customer(_,_,7,_,_)",)))
-    return policy.integrity_delta(e, after).select("change", "bindings")
-
-
-@add("check_suite_delta", "SELECT * FROM (VALUES ('n_regions', true), ('no_orphans', true), ('region_rows', false), ('urgent', true)) AS t(name, passed)")
-def check_suite_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = warehouse(spark, sf_dir, ("nation", "region", "orders"))
-    suite = [
-        policy.Check("n_regions", "count(*) as N where region(_,_)", "rows", ({"N": 5},)),
-        policy.Check("no_orphans", "nation(N,_,R), \\+ region(R,_)", "empty"),
-        policy.Check("region_rows", "select K where region(K,_)", "rows", ({"K": 0}, {"K": 99})),
-        policy.Check("urgent", "orders(_,_,_,_,_,'1-URGENT')", "nonempty"),
-    ]
-    return spark.createDataFrame([(r.name, r.passed) for r in policy.run_checks(e, suite)], "name string, passed boolean")
-
-
-@add("topology_edges", """SELECT * FROM (VALUES ('customer/5', 'rule 1', 'reads'), ('rule 1', 'lives/2', 'derives'), ('lives/2', 'rule 2', 'reads'), ('supplier/4', 'rule 2', 'negates'), ('rule 2', 'odd/1', 'derives'), ('odd/1', 'constraint 1', 'reads'))
-    AS t(source, target, how)""")
-def topology_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = warehouse(spark, sf_dir, ("customer", "supplier")).load("lives(C,N) :- customer(C,_,N,_,_). odd(C) :- lives(C,N), \\+ supplier(_,_,N,_). :- odd(C).")
-    return topology.topology_edges(e)
-
-
-@add("topology_fact_counts", """SELECT 'nation/3' AS predicate, (SELECT count(*) FROM nation)::BIGINT AS facts, false AS derived UNION ALL SELECT 'region/2', (SELECT count(*) FROM region), false UNION ALL SELECT 'big/1', 0, true""")
-def topology_fact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = topology.topology(warehouse(spark, sf_dir, ("nation", "region")).load("big(R) :- nation(_,_,R), region(R,_)."))
-    return spark.createDataFrame([(topology.name(k), v["facts"], v["derived"]) for k, v in t.predicates.items()], "predicate string, facts long, derived boolean")
-
-
-@add("rule_audit", "SELECT * FROM (VALUES ('open_positive_input', 'rule 1'), ('inactive_derived_predicate', 'ghost/1'), ('unseeded_recursion', 'loop/1'), ('inactive_derived_predicate', 'loop/1')) AS t(code, subject)")
-def rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = warehouse(spark, sf_dir, ("nation",)).load("ghost(X) :- nowhere(X), nation(X,_,_). loop(X) :- loop(X), nation(X,_,_).")
-    return spark.createDataFrame([(f["code"], f["subject"]) for f in topology.audit_rules(e)], "code string, subject string")
-
-
-# -- proofs, reasons, repairs ---------------------------------------------------------------------------
-
-
-@add("why_not", """SELECT 'rules_blocked' AS reason, 'near(0, 24)' AS goal UNION ALL SELECT 'missing_fact', 'nation(24, _, 0)'""")
-def why_not(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = warehouse(spark, sf_dir, ("nation",)).load("near(X,Y) :- nation(X,_,R), nation(Y,_,R).")
-    found = reasoning.why_not(e, "near(0, 24)")
-    rows = [(f.reason, f.goal) for f in [*found, *reasoning.leaves(found)]]
-    return spark.createDataFrame(rows, "reason string, goal string").distinct()
-
-
-@add("repair_plan", "SELECT 'region(9, nowhere)' AS assume, 1 AS cost")
-def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = warehouse(spark, sf_dir, ("region",)).load("found(X) :- region(9, X), X = nowhere. found(X) :- region(9, nowhere), region(0, X).")
-    plans = reasoning.plan_repairs(e, "found('AFRICA')")
-    return spark.createDataFrame([(", ".join(p.assume), p.cost) for p in plans], "assume string, cost int")
-
-
-@add("explanation_graph")
-def explanation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = warehouse(spark, sf_dir, ("nation", "region")).load("lies(N,R) :- nation(_,N,K), region(K,R).")
-    return reasoning.explanation_graph(e, "lies(N,R)").frames(spark)[1]
-
-
-# -- journal --------------------------------------------------------------------------------------------
-
-
-def event_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a journal: a purchase or signup states likes(user, key), an error takes it back."""
-    ev = table(spark, sf_dir, "events")
-    action = F.when(F.col("event_type") == "error", "retract").when(F.col("event_type").isin("purchase", "signup", "view"), "assert")
-    clause = F.concat(F.lit("likes("), F.col("user_id"), F.lit(", "), F.get_json_object("props", "$.k"), F.lit(")."))
-    return ev.select(
-        F.col("event_id").alias("sequence"), F.lit(0).alias("position"), F.col("ts").cast("string").alias("ts"), F.lit("main").alias("namespace"),
-        F.concat(F.lit("op"), F.col("event_id")).alias("op_id"), action.alias("action"), clause.alias("clause"), F.col("event_type").alias("source"),
-        F.when(F.col("event_type") == "view", "tentative").otherwise("accepted").alias("trust"), F.lit(None).cast("string").alias("valid_until"),
-    ).where("action IS NOT NULL")
-
-
-_JOURNAL = """j AS (SELECT event_id AS sequence, CASE event_type WHEN 'error' THEN 'retract' ELSE 'assert' END AS action, event_type AS source,
-    'likes(' || user_id || ', ' || json_extract_string(props, '$.k') || ').' AS clause, CASE event_type WHEN 'view' THEN 'tentative' ELSE 'accepted' END AS trust, 'op' || event_id AS op_id
-    FROM events WHERE event_type IN ('error', 'purchase', 'signup', 'view'))"""
-_STATE = "SELECT * FROM j {where} QUALIFY row_number() OVER (PARTITION BY clause ORDER BY sequence DESC) = 1"
-
-
-@add("snapshot_current", f"WITH {_JOURNAL} SELECT sequence, clause, trust FROM ({_STATE.format(where='')}) WHERE action = 'assert'")
-def snapshot_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.snapshot(event_journal(spark, sf_dir)).select("sequence", "clause", "trust")
-
-
-@add("snapshot_as_of", f"WITH {_JOURNAL} SELECT sequence, clause FROM ({_STATE.format(where='WHERE sequence <= 4000')}) WHERE action = 'assert'")
-def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.snapshot(event_journal(spark, sf_dir), 4000).select("sequence", "clause")
-
-
-@add("snapshot_batch", f"""WITH {_JOURNAL} SELECT as_of, count(*)::BIGINT AS n FROM (SELECT a.as_of, j.* FROM j, (VALUES (1000::BIGINT), (5000), (9000)) AS a(as_of) WHERE sequence <= as_of
-    QUALIFY row_number() OVER (PARTITION BY as_of, clause ORDER BY sequence DESC) = 1) WHERE action = 'assert' GROUP BY 1""")
-def snapshot_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.snapshots(event_journal(spark, sf_dir), [1000, 5000, 9000]).groupBy("as_of").agg(F.count("*").alias("n"))
-
-
-@add("history_events", f"""WITH {_JOURNAL} SELECT sequence, clause, CASE action WHEN 'assert' THEN 'asserted' ELSE 'retracted' END AS event,
-    EXISTS (SELECT 1 FROM ({_STATE.format(where='')}) s WHERE s.action = 'assert' AND s.clause = j.clause) AS "current" FROM j WHERE clause LIKE 'likes(7, %'""")
-def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.history(event_journal(spark, sf_dir), "likes(7, _)").select("sequence", "clause", "event", "current")
-
-
-@add("recorded_diff", f"""WITH {_JOURNAL}, a AS (SELECT * FROM ({_STATE.format(where='WHERE sequence <= 3000')}) WHERE action = 'assert'), b AS (SELECT * FROM ({_STATE.format(where='WHERE sequence <= 6000')}) WHERE action = 'assert')
-    SELECT coalesce(a.clause, b.clause) AS clause, CASE WHEN a.clause IS NULL THEN 'added' WHEN b.clause IS NULL THEN 'removed' ELSE 'source_changed' END AS change
-    FROM a FULL JOIN b ON a.clause = b.clause WHERE a.clause IS NULL OR b.clause IS NULL OR a.op_id <> b.op_id""")
-def recorded_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.recorded_diff(event_journal(spark, sf_dir), 3000, 6000).select("clause", "change")
-
-
-@add("trust_view", f"WITH {_JOURNAL} SELECT clause FROM ({_STATE.format(where='')}) WHERE action = 'assert' AND trust = 'accepted'")
-def trust_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.trust_view(event_journal(spark, sf_dir)).select("clause")
-
-
-@add("provenance", f"WITH {_JOURNAL} SELECT clause, op_id, source FROM ({_STATE.format(where='')}) WHERE action = 'assert'")
-def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.provenance(event_journal(spark, sf_dir)).select("clause", "op_id", "source")
-
-
-@add("entity_canonical", """SELECT DISTINCT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'VEHICLES' WHEN 'MACHINERY' THEN 'VEHICLES' ELSE c_mktsegment END AS segment, c_nationkey AS nation FROM customer""")
-def entity_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
-    return journal.canonicalize(facts, ["segment"], journal.resolve_aliases([("MACHINERY", "AUTOMOBILE"), ("AUTOMOBILE", "VEHICLES")]))
-
-
-@add("supersede_archive", """SELECT * FROM (VALUES ('lives(ann, oslo).', 'assert'), ('lives_until(ann, bergen, ''2024-02-01T00:00:00Z'').', 'assert')) AS t(clause, action)""")
-def supersede_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = journal.Store(spark)
-    s.assert_("main", "lives(ann, bergen).", "op1", "2024-01-01T00:00:00Z")
-    s.supersede("main", "lives(ann, _)", "lives(ann, oslo).", "op2", "2024-02-01T00:00:00Z")
-    return s.state().where("namespace = 'main'").select("clause", "action")
+# -- transcripts ---------------------------------------------------------------------------------------
 
 
 @add("transcript_tail", """SELECT conv_id, turn, text FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2""")
