@@ -57,6 +57,7 @@ SENSITIVE = (
     r"\b(?:\d[ -]*){13,19}\b",
 )
 _ADVICE = ("advice", "suggest(?:ion)?s?", "recommend(?:ation)?s?", "ideas?", "tips", "choose", "decide", "looking for", "what should", "should i", "could there be (?:a )?reason")
+ADVICE = rf"(?i)\b(?:{'|'.join(_ADVICE)})\b"
 REDACTED = "[sensitive text redacted]"
 
 
@@ -74,4 +75,4 @@ def redact(text: Column) -> Column:
 
 def asks_for_advice(text: Column) -> Column:
     """Whether a question wants a recommendation, for which vectors serve better than words."""
-    return text.rlike(rf"(?i)\b(?:{'|'.join(_ADVICE)})\b")
+    return text.rlike(ADVICE)

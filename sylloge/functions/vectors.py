@@ -18,3 +18,8 @@ def cosine(a: Column, b: Column) -> Column:
     """Null where a vector is null, of another length, or zero."""
     n = norm(a) * norm(b)
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n)
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """How often a text has each of the letters a to z: a vector where no model is at hand."""
+    return [[float(low.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for low in map(str.lower, texts)]

@@ -31,7 +31,7 @@ def clause_table(spark: SparkSession, clauses: list[Clause], sources: dict[str,
     rows = {}
     for c in clauses:
         lits = [g.lit if isinstance(g, Not) else g for g in c.body if isinstance(g, (Lit, Not))]
-        terms = [str(t.value) for x in ([c.head] if c.head else []) + lits for t in x.args if isinstance(t, (Atom, Num))]
+        terms = [t.value if isinstance(t, Atom) else write(t) for x in ([c.head] if c.head else []) + lits for t in x.args if isinstance(t, (Atom, Num))]
         kind = "fact" if c.is_fact else "rule" if c.is_rule else "constraint"
         rows.setdefault(canonical(c), (write(c), kind, c.head.name if c.head else "", [x.name for x in lits], terms, (sources or {}).get(write(c), "")))
     return spark.createDataFrame(list(rows.values()), CLAUSES)
