@@ -470,13 +470,13 @@ class Engine:
             return "portable"
         return "native" if len({c.head.key for c in clauses if c.is_rule}) == 1 else "portable"
 
-    def to_sql(self, text: str) -> str:
-        """One rule of positive literals and comparisons as a SELECT over the registered tables."""
+    def to_sql(self, text: str, mark: str = '"') -> str:
+        """One rule of positive literals and comparisons as a SELECT over the registered tables, names between marks."""
         rules = parse_program(text)
         if len(rules) != 1 or not rules[0].is_rule or rules[0].aggregate:
             raise DatalogError("one rule is needed")
         rule, where, seen, tables, late = rules[0], [], {}, [], []
-        quote = lambda x: '"' + x.replace('"', '""') + '"'
+        quote = lambda x: mark + x.replace(mark, mark * 2) + mark
         constant = lambda t: write_number(t.value) if isinstance(t, Num) else "'" + t.value.replace("'", "''") + "'"
         for g in rule.body:
             if isinstance(g, Not):

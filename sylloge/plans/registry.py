@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .local import holds
+from .stratify import strata
+from .syntax import DatalogError, parse_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -204,4 +208,118 @@ def proof_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.proof_edges(1)
 
 
+# -- exact numbers, bounds, types -----------------------------------------------------------------------
+
+_LARGE = "SELECT o_orderkey + 9007199254740993 AS x, o_orderkey // 2 + 9007199254740993 AS y FROM orders WHERE o_orderkey > 0"
+
+
+def large_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree over the orders whose numbers lie beyond those that doubles hold exactly."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey > 0")
+    return o.select((F.col("o_orderkey") + 2**53 + 1).alias("x"), (F.floor(F.col("o_orderkey") / 2).cast("long") + 2**53 + 1).alias("y"))
+
+
+for _name, _rows in (("reach_large_ids", 10_000_000), ("reach_large_ids_distributed", 0)):
+
+    @add(_name, f'WITH RECURSIVE a AS ({_LARGE} UNION SELECT a.x, u.y FROM a JOIN ({_LARGE}) u ON u.x = a.y) SELECT x AS "X", y AS "Y" FROM a')
+    def reach_large(spark: SparkSession, sf_dir: str, rows: int = _rows) -> DataFrame:
+        """Reachability among large numbers, with any number of rows allowed on the driver and with none."""
+        e = Engine(spark, local_rows=rows).register("up", large_edges(spark, sf_dir), keys=("x",))
+        return e.load("anc(X,Y) :- up(X,Y). anc(X,Z) :- anc(X,Y), up(Y,Z).").query("anc(X,Y)")
+
+
+def _said(f: Callable[[], object]) -> str:
+    try:
+        f()
+    except DatalogError as e:
+        return type(e).__name__
+    return "fine"
+
+
+@add("bounds", """SELECT 'aggregate, one too many' AS what, CASE WHEN (SELECT count(*) FROM customer) > 0 THEN 'LimitError' END AS said UNION ALL SELECT 'aggregate, as many', 'fine' UNION ALL SELECT 'facts, one too many', 'LimitError' WHERE (SELECT count(*) FROM nation) > 0
+    UNION ALL SELECT 'facts, as many', 'fine' UNION ALL SELECT 'rounds', CASE WHEN (SELECT count(*) FROM nation) > 3 THEN 'LimitError' ELSE 'fine' END UNION ALL SELECT 'rows', CASE WHEN (SELECT count(*) FROM nation) > 5 THEN 'LimitError' ELSE 'fine' END""")
+def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What bounds on aggregates, facts, rounds and collected rows say."""
+    n, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("nation", "customer"))
+    chain = "next(X,Y) :- nation(X,_,_), nation(Y,_,_), Y = X + 1. way(X,Y) :- next(X,Y). way(X,Z) :- way(X,Y), next(Y,Z)."
+
+    def engine(**options) -> Engine:
+        e = warehouse(spark, sf_dir, ("nation", "customer"))
+        for k, v in options.items():
+            setattr(e, k, v)
+        return e.load("all(X) :- nation(X,_,_). " + chain)
+
+    count = "count(*) as N where customer(_,_,_,_,_)"
+    rows = [
+        ("aggregate, one too many", _said(lambda: engine(max_aggregate_rows=c - 1).rows(count))), ("aggregate, as many", _said(lambda: engine(max_aggregate_rows=c).rows(count))),
+        ("facts, one too many", _said(lambda: engine(max_facts=n - 1).rows("all(X)"))), ("facts, as many", _said(lambda: engine(max_facts=n).rows("all(X)"))),
+        ("rounds", _said(lambda: engine(max_rounds=2, local_rows=0).rows("way(X,Y)"))), ("rows", _said(lambda: engine().rows("all(X)", 5))),
+    ]
+    return spark.createDataFrame(rows, "what string, said string")
+
+
+@add("portable_scan", """SELECT n_nationkey::BIGINT AS "K", n_name AS "N", 'fine' AS said FROM nation UNION ALL SELECT NULL, 'timestamps', 'DatalogError' UNION ALL SELECT NULL, 'too many', 'LimitError' WHERE (SELECT count(*) FROM orders) > 1000
+    UNION ALL SELECT NULL, 'null', 'refused' UNION ALL SELECT NULL, 'large', 'refused' WHERE (SELECT count(*) FROM orders) > 0 UNION ALL SELECT NULL, 'bytes', 'DatalogError'""")
+def portable_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that any engine reads alike, and what is refused."""
+    n, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "orders"))
+    fine = Engine(spark).register_portable("nation", n).query("nation(K,N,_)").select(F.col("K").cast("long").alias("K"), "N", F.lit("fine").alias("said"))
+
+    def ends(df: DataFrame) -> str:
+        try:
+            Engine(spark).register_portable("p", df).query("p(X)").count()
+        except PySparkException as e:
+            return "refused" if "p." in str(e) else str(e)
+        return "fine"
+
+    e = Engine(spark)
+    rows = [
+        ("timestamps", _said(lambda: e.register_portable("orders", o))), ("too many", _said(lambda: e.register_portable("orders", o.select("o_orderkey"), 1000))),
+        ("bytes", _said(lambda: e.register_portable("b", n.select(F.col("n_name").cast("binary"))))), ("null", ends(n.select(F.nullif(F.col("n_nationkey"), F.lit(3))))), ("large", ends(large_edges(spark, sf_dir).select("x"))),
+    ]
+    return fine.union(spark.createDataFrame([(None, a, b) for a, b in rows], "K long, N string, said string"))
+
+
+@add("catalogue", """SELECT table_name AS predicate, count(*) OVER (PARTITION BY table_name)::INT AS arity, ordinal_position::INT AS place, column_name AS name,
+    CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' END AS type FROM information_schema.columns WHERE table_name IN ('nation', 'region', 'supplier')""")
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warehouse(spark, sf_dir, ("nation", "region", "supplier")).catalogue()
+
+
+@add("compiled_sql", """SELECT DISTINCT a.s_suppkey AS "X", b.c_custkey AS "Y" FROM supplier a JOIN customer b ON s_nationkey = c_nationkey WHERE b.c_acctbal > 5000 AND a.s_suppkey <> b.c_custkey AND b.c_mktsegment = 'BUILDING'""")
+def compiled_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule as SQL text, which Spark SQL then runs over views of the tables."""
+    for t in ("supplier", "customer"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(warehouse(spark, sf_dir, ("supplier", "customer")).to_sql("near(X, Y) :- supplier(X,_,N,_), customer(Y,_,N,B,'BUILDING'), B > 5000, X != Y.", "`"))
+
+
+@add("comparison_test", """SELECT n_nationkey AS k, op, CASE op WHEN '=' THEN n_nationkey = 7 WHEN '!=' THEN n_nationkey <> 7 WHEN '<' THEN n_nationkey < 7 WHEN '>=' THEN n_nationkey >= 7 WHEN 'atom <' THEN false WHEN 'atom !=' THEN true ELSE n_nationkey * 2 - 1 > 7 END AS holds
+    FROM nation, (SELECT unnest(['=', '!=', '<', '>=', 'atom <', 'atom !=', 'arithmetic']) AS op)""")
+def comparison_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of values on the driver, one by one."""
+    texts = {"=": "X = 7", "!=": "X != 7", "<": "X < 7", ">=": "X >= 7", "atom <": "X < seven", "atom !=": "X != seven", "arithmetic": "X * 2 - 1 > 7"}
+    goals = {n: parse_query(f"p(X), {t}").body[1] for n, t in texts.items()}
+    keys = [r[0] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect()]
+    return spark.createDataFrame([(k, n, holds(g, {"X": float(k)})) for k in keys for n, g in goals.items()], "k int, op string, holds boolean")
+
+
+@add("aggregate_safety", """SELECT t AS text, 'SafetyError' AS said FROM (SELECT unnest(['n(N) :- count(*) as N where X > 1.', 'n(N) :- sum(X) as N where nation(_, _, _).', 'n(K) :- count(*) as N where nation(K, _, _).', 'n(N, N) :- count(*) as N where nation(_, _, _).', 'n(X) :- nation(_, _, _).', 'n(X) :- nation(X, _, _), Y > 1.']) AS t)
+    UNION ALL SELECT 'n(K, N) :- count(*) as N where nation(K, _, _).', 'fine'""")
+def aggregate_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rules over the nations are refused before anything is read."""
+    texts = ["n(N) :- count(*) as N where X > 1.", "n(N) :- sum(X) as N where nation(_, _, _).", "n(K) :- count(*) as N where nation(K, _, _).", "n(N, N) :- count(*) as N where nation(_, _, _).",
+             "n(X) :- nation(_, _, _).", "n(X) :- nation(X, _, _), Y > 1.", "n(K, N) :- count(*) as N where nation(K, _, _)."]
+    return spark.createDataFrame([(t, _said(lambda t=t: warehouse(spark, sf_dir, ("nation",)).load(t))) for t in texts], "text string, said string")
+
+
+@add("strata", """WITH n AS (SELECT table_name || '/' || count(*) AS p FROM information_schema.columns WHERE table_name = 'nation' GROUP BY table_name) SELECT p AS predicate, 0 AS stratum FROM n
+    UNION ALL SELECT unnest(['a/1', 'loop/1']), 0 UNION ALL SELECT 'b/1', 1 UNION ALL SELECT 'c/2', 2""")
+def strata_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = warehouse(spark, sf_dir, ("nation",)).load("a(X) :- nation(X,_,_). loop(X) :- loop(X), a(X). b(X) :- nation(X,_,_), \\+ loop(X). c(X,N) :- count(*) as N where b(X).")
+    level = strata(e.program.rules)
+    keys = set(e.base) | {r.head.key for r in e.program.rules}
+    return spark.createDataFrame([(f"{k[0]}/{k[1]}", level.get(k, 0)) for k in keys], "predicate string, stratum int")
+
+
 from . import registered  # noqa: E402, F401  (the remaining operators' queries)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ class Ledger:
             return self._rows([self._fact(*known)] if known else [], [self._fact(capture, namespace, day, "reserved")])
 
         try:
-            self.store._append(f"reserve {capture} {now.isoformat()}", {"reserve": capture}, rows, now.isoformat())
+            self.store._append(f"reserve {capture} {uuid.uuid4().hex}", {"reserve": capture}, rows, now.isoformat())
         except _Refused as e:
             return capture, str(e)
         return capture, "reserved"
@@ -78,12 +79,12 @@ class Ledger:
                 raise DatalogError("the capture is not under way")
             return self._rows([self._fact(*known)], [self._fact(*known[:3], status)])
 
-        self.store._append(f"finish {capture} {now.isoformat()}", {"finish": capture, "status": status}, rows, now.isoformat())
+        self.store._append(f"finish {capture} {uuid.uuid4().hex}", {"finish": capture, "status": status}, rows, now.isoformat())
 
     def prune(self, before: datetime.date, now: datetime.datetime) -> int:
         """Forgets finished captures of UTC days before one: how many, at most 10,000 at a time."""
         day = "d" + before.strftime("%Y%m%d")
         gone = [self._fact(*r) for r in self.review().where((F.col("day") < day) & (F.col("status") != "reserved")).limit(10_000).collect()]
         if gone:
-            self.store._append(f"prune {day} {now.isoformat()}", {"prune": day}, lambda: self._rows(gone, []), now.isoformat())
+            self.store._append(f"prune {day} {uuid.uuid4().hex}", {"prune": day}, lambda: self._rows(gone, []), now.isoformat())
         return len(gone)
