@@ -36,7 +36,7 @@ def conflict_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("violations", F.concat(F.lit("["), F.array_join("violations", ", "), F.lit("]")))
 
 
-@add("enforcement_new_violations", """SELECT 'introduced' AS what, to_json({'C': c_custkey::VARCHAR, 'B': c_acctbal::VARCHAR}) AS bindings FROM customer WHERE c_acctbal >= -950 AND c_acctbal < -900
+@add("enforcement_new_violations", """SELECT 'introduced' AS what, to_json({'C': c_custkey::VARCHAR, 'B': c_acctbal::VARCHAR})::VARCHAR AS bindings FROM customer WHERE c_acctbal >= -950 AND c_acctbal < -900
     UNION ALL SELECT 'strict', 'refused' WHERE EXISTS (SELECT 1 FROM customer WHERE c_acctbal < -900) UNION ALL SELECT 'no_new_violations', 'refused' WHERE EXISTS (SELECT 1 FROM customer WHERE c_acctbal >= -950 AND c_acctbal < -900)""")
 def enforcement_new_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A constraint over the poor becomes stricter: which violations that brings, and whether the two modes let it pass."""

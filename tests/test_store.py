@@ -202,3 +202,5 @@ def test_stream(spark, store, tmp_path):
         q = stream.maintain(stream.read(spark, store.path, 1), str(tmp_path / "state"), str(tmp_path / "cp"))
         q.awaitTermination()
     assert clauses(stream.latest(spark, str(tmp_path / "state"))) == clauses(store.state())
+    parts = {p.parent.name for p in (tmp_path / "state").glob("batch=*/part=*")}
+    assert len(parts) > 1  # one folder for each batch, with the parts that it touched
