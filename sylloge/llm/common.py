@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import delete, written
 
-__all__ = ["delete", "fresh", "parallelism", "spread", "table", "without", "words", "written"]
+__all__ = ["delete", "fresh", "parallelism", "release", "spread", "table", "words", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +25,6 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs less the rows whose id is in ids(id_col); rows with a null id stay."""
-    key = fresh(docs, "gone_id")
-    gone = ids.select(F.col(id_col).alias(key))
-    return docs.join(gone, docs[id_col] == gone[key], "left_anti")
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -38,6 +34,15 @@ def spread(spark: SparkSession, size: float, per_task: float) -> int:
     return max(parallelism(spark), int(size // per_task) + 1)
 
 
+def release() -> None:
+    """Gives memory that a task needed back to the system: Python workers outlive their tasks and else keep the most that any needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def words(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\f\v]+")), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, fresh, spread, written
+from .common import delete, fresh, release, spread, written
 from .tokens import chunks, mixed, split
 
 #: Largest distance of near duplicates' word signatures, of 128 bits.
@@ -39,7 +39,7 @@ FINE = 16
 PROBE = 6.0
 #: Rows of a probing task, about, candidate pairs that it compares at once, and rows of a key from which it is split into blocks.
 TASK_ROWS = 300_000
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 KEY_ROWS = 4_000_000
 #: Documents to remove that may be broadcast (about 100 MB), so that texts stay where they are; more are joined by a shuffle.
 BROADCAST_GONE = 2_000_000
@@ -317,6 +317,8 @@ def _probe(parts: list[list[int]], thresholds: list[int], tau: int, confirm: int
                     if len(i):
                         u, v = ids[rows[i]], ids[rows[j]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        del table
+        release()
 
     return run
 

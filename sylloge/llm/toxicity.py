@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, release, written
 from .tokens import Words, chunks, split
 
 #: Characters of an n-gram, the last of which is predicted.
@@ -108,6 +108,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         merge()
     yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(counts[:, i], pa.int64()) for i in range(4))], ["gram", *CLASSES])
+    del keys, counts
+    release()
 
 
 @dataclass
@@ -156,7 +158,7 @@ class Model:
 
 
 #: Scores of words a Python worker remembers.
-CACHE = 1_000_000
+CACHE = 200_000
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default) -> np.ndarray:
@@ -403,6 +405,8 @@ def scorer(model: Model, docs: DataFrame):
             batch = pa.RecordBatch.from_arrays([part], ["text"])
             done = [shared.value.score(x["text"], cache) for x in chunks(iter([batch]))]
             yield pa.array(np.concatenate(done) if done else np.empty(0), pa.float64())
+        cache.clear()
+        release()
 
     return score
 
