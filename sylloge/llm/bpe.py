@@ -231,12 +231,17 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     """(doc_id, n_tokens, tokens, round_trip): the tokens of whole texts, and whether decoding gave back their bytes.
 
     A row for every row of docs, repeated ones too. A null text has null in the other columns, an empty one
-    no tokens; a null id stays null. Special tokens are ordinary text. Other columns are ignored.
+    no tokens; a null id stays null. Special tokens are ordinary text; very long texts are encoded whole. An empty table
+    gives an empty result. Other columns, whatever their names, are ignored.
     """
     return Bpe(docs.sparkSession, vocabulary, pattern).encoded(docs, text, doc_id)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "tokens", text: str = "text") -> DataFrame:
-    """encoded with its texts from its tokens, under the name text in place of any such column."""
+    """encoded with its texts from its tokens, under the name text in place of any such column.
+
+    Null tokens give a null text, none an empty one; a number that is no token is an error. Rows are kept as they are, repeated
+    ones and their other columns too; an empty table gives an empty one.
+    """
     bpe = Bpe(encoded.sparkSession, vocabulary)
     return encoded.withColumn(text, F.decode(bpe.decode(F.col(tokens)), "UTF-8"))

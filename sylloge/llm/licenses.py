@@ -93,8 +93,9 @@ def license_scan(docs: DataFrame, digests: DataFrame | None = None, text: str =
     unit is 'document', 'paragraph' or 'line'; place counts the paragraphs or lines from 0. Paragraphs are
     parted by lines without letters and digits or with a copyright; they and lines are reported only where a
     document has two or more. digests has the columns (digest, license) and is broadcast. Null and empty
-    texts match nothing; rows with a null id are scanned like others; repeated rows give repeated results;
-    other columns are ignored.
+    texts match nothing; rows with a null id are scanned like others; repeated rows give repeated results, and a text with two
+    names in digests both; texts are looked up whole, however long; an empty table gives an empty result. Other columns,
+    whatever their names, are ignored.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")

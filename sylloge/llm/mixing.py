@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, parallelism, words, written
+from .common import fresh, parallelism, spread, words, written
 
 #: Tokens of a block.
 BLOCK_TOKENS = 2048
@@ -27,6 +27,8 @@ ALPHA = 0.9
 RANGE_ROWS = 20_000
 #: Slots of a range of the schedule.
 RANGE_SLOTS = 65_536
+#: Bytes of a block's texts, about, of those that a task of mix() puts in order, and rows without tokens that one takes.
+BLOCK_BYTES, TASK_BYTES, EMPTY_ROWS = 12_000, 32 << 20, 1_000_000
 SEED = "mix-1"
 #: Floor of 2**32 divided by the golden ratio, odd.
 GOLDEN = 2654435769
@@ -81,18 +83,19 @@ def schedule(
 
     A document lies in the block that holds its first token. Rows that share source and id are one
     document of their tokens together. Null is a source and an id like any other; the weight of a source
-    that `weights` lacks is 0, and such a source and documents without tokens are left out. An empty table gives
-    an empty result.
+    that `weights` lacks is 0, and such a source and documents without tokens are left out. Ties in the shuffle's order go by id. A
+    very long document starts in one block, and the blocks inside it are left out. An empty table gives an empty result. Other
+    columns, whatever their names, are ignored.
     """
     return _schedule(docs, weights, block_tokens, alpha, seed, text, doc_id, source)[0]
 
 
 def _schedule(docs, weights=None, block_tokens=BLOCK_TOKENS, alpha=ALPHA, seed=SEED, text="text", doc_id="doc_id", source="source"):
-    """schedule() and the number of its slots."""
+    """schedule(), the number of its slots and that of the rows without tokens."""
     spark = docs.sparkSession
     base = docs.select(F.col(source).cast("string").alias("source"), F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("n"))
     base = written(base, "mix-lengths")
-    totals = base.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    totals = base.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.count_if(F.col("n") == 0).alias("empty")).collect()
     stretch = cumulative({r["source"]: r["n"] for r in totals}, weights, alpha)
     plan = spark.createDataFrame(
         [(s, lo, hi, -(-next(r["n"] for r in totals if r["source"] == s) // block_tokens)) for s, lo, hi in stretch],
@@ -122,7 +125,7 @@ def _schedule(docs, weights=None, block_tokens=BLOCK_TOKENS, alpha=ALPHA, seed=S
         F.floor(F.col("rank") / F.col("blocks")).cast("long").alias("epoch"),
     )
     joined = placed.join(ranked, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block")))
-    return joined.select("doc_id", "source", "n_tokens", "block", "slot", "epoch"), slots_n
+    return joined.select("doc_id", "source", "n_tokens", "block", "slot", "epoch"), slots_n, sum(r["empty"] for r in totals)
 
 
 def _slots(blocks: int, points: int) -> int:
@@ -133,10 +136,11 @@ def _slots(blocks: int, points: int) -> int:
 def mix(docs: DataFrame, weights: dict | None = None, **options) -> DataFrame:
     """The rows of docs in the order of schedule(), once for every time taken, with docs' own columns.
 
-    Rows whose document has no tokens, null texts among them, come at the start, once.
+    Rows whose document has no tokens, null texts among them, come at the start, once. Rows that share source and id are
+    taken together, however many and long they are. An empty table gives an empty one; columns and their names are those of docs.
     """
     spark = docs.sparkSession
-    taken, slots_n = _schedule(docs, weights, **options)
+    taken, slots_n, empty = _schedule(docs, weights, **options)
     names = {c: fresh(docs, f"mix_{c}") for c in ("doc_id", "source", "slot")}
     taken = taken.select(*(F.col(c).alias(n) for c, n in names.items()))
     slot = names["slot"]
@@ -145,6 +149,7 @@ def mix(docs: DataFrame, weights: dict | None = None, **options) -> DataFrame:
     counted = own.columns[-1]
     same = F.col(source).cast("string").eqNullSafe(F.col(names["source"])) & F.col(doc_id).cast("long").eqNullSafe(F.col(names["doc_id"]))
     joined = own.join(taken, same, "left").where(F.col(slot).isNotNull() | (F.col(counted) == 0))
-    parts = parallelism(spark)
-    at = F.coalesce(F.floor(F.col(slot) * parts / F.lit(max(slots_n, 1))), F.lit(0)).cast("int")
-    return joined.repartitionById(parts, at).sortWithinPartitions(F.col(slot).asc_nulls_first(), doc_id).select(*docs.columns)
+    first = -(-empty // EMPTY_ROWS)  # tasks of the rows without tokens, of which there may be very many
+    parts = spread(spark, slots_n * BLOCK_BYTES, TASK_BYTES)
+    at = F.when(F.col(slot).isNull(), F.pmod(F.xxhash64(doc_id), F.lit(max(first, 1)))).otherwise(F.floor(F.col(slot) * parts / F.lit(max(slots_n, 1))) + first)
+    return joined.repartitionById(parts + max(first, 1), at.cast("int")).sortWithinPartitions(F.col(slot).asc_nulls_first(), doc_id).select(*docs.columns)

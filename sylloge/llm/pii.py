@@ -345,7 +345,12 @@ def redact(text: str) -> str:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each identifier of the text replaced by its kind in angle brackets; null texts stay null."""
+    """docs with each identifier of the text replaced by its kind in angle brackets.
+
+    Null texts stay null and empty ones empty; whole texts are rewritten, however long; of identifiers that overlap the first
+    one counts. Rows stay as they are, repeated ones and null ids too; an empty table gives an empty one; columns and their names
+    are those of docs, whatever they are.
+    """
 
     @F.arrow_udf("string")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -190,11 +190,23 @@ def test_bpe_decodes(spark):
 # -- toxicity -----------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_is_a_distribution():
     g = toxicity.grams(["abba", "cab", "abc"])
     keys, n = np.unique(g.keys, return_counts=True)
     m = toxicity.kneser_ney(keys, n, np.zeros(len(n), dtype=np.int64) + 1)
     assert np.isfinite(m.ratios).all() and np.isfinite(m.context_ratios).all()
+    # a class with the counts of one gram alone: what is seen and what is left for the rest of its context make one
+    from tests.llm.test_models import KneserNey, grams_of
+
+    model = KneserNey([("abba cab abc", 0), ("abcd", 1)])
+    for context in model.contexts:
+        known = [g for g in model.seen[5] if g[:-1] == context]
+        for c in (0, 1):
+            total = model.total[c][context]
+            weight = model.D * model.kinds[c][context] / total if total else 1.0
+            seen = sum(max(model.n[c][g] - model.D, 0) / max(total, 1) for g in known)
+            assert abs(seen + weight - 1) < 1e-9
+    assert len(grams_of("abba")) == 5
 
 
 def test_toxicity_held_out(spark):
@@ -432,7 +444,7 @@ def test_neighbours_recall(spark, kind):
     np.fill_diagonal(s, -9)
     least = np.sort(s, axis=1)[:, -10]
     assert len(got) == 30_000 and (got["rank"].value_counts() == 3000).all()
-    assert (s[got.vec_id, got.neighbour_id] >= least[got.vec_id] - 1e-5).mean() >= 0.9
+    assert (s[got.vec_id, got.neighbour_id] >= least[got.vec_id] - 1e-5).mean() >= neighbours.TARGET - 0.02
 
 
 def test_neighbours_edges(spark):
