@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import time
 from collections.abc import Callable
@@ -289,6 +290,15 @@ class Store:
 
     def _create(self, name: str, text: str) -> bool:
         """Whether the file was created; False where it exists."""
+        if self.fs.getUri().getScheme() == "file":  # where create() first looks and then creates
+            path = self._at(name).toUri().getPath()
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            try:
+                with open(path, "x") as file:
+                    file.write(text)
+            except FileExistsError:
+                return False
+            return True
         try:
             out = self.fs.create(self._at(name), False)
         except Py4JJavaError as e:
