@@ -278,11 +278,11 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("journal_lines", f"WITH {_JOURNAL} SELECT sequence, clause, trust FROM (SELECT row_number() OVER (ORDER BY sequence) AS sequence, action, clause, trust FROM j QUALIFY row_number() OVER (PARTITION BY clause ORDER BY sequence DESC) = 1) WHERE action = 'assert'")
 def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The journal of events written as JSON lines and read again."""
+    """The journal of events written as JSON lines, in files whose names follow its order, and read again."""
     path, j = new_path(spark, "lines"), event_journal(spark, sf_dir)
     one = lambda a: F.when(F.col("action") == a, F.array("clause"))
     lines = j.select("sequence", F.to_json(F.struct("ts", F.col("action").alias("op"), "namespace", F.col("op_id").alias("opId"), one("assert").alias("added"), one("retract").alias("removedClauses"), "trust")).alias("value"))
-    lines.coalesce(1).sortWithinPartitions("sequence").select("value").write.text(path)
+    lines.repartitionByRange("sequence").sortWithinPartitions("sequence").select("value").write.text(path)
     return journal.snapshot(journal.read_lines(spark, path)).select(F.col("sequence").cast("long").alias("sequence"), "clause", "trust")
 
 

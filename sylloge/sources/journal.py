@@ -26,7 +26,7 @@ from ..plans.compiler import Relation
 from ..plans.engine import Engine
 from ..plans.local import LimitError
 from ..plans.syntax import Atom, Clause, DatalogError, Lit, Program, canonical, parse_program, parse_query, write, write_atom
-from .scratch import hadoop, new_path
+from .scratch import hadoop, new_path, written
 
 SCHEMA = "sequence long, position int, ts string, namespace string, op_id string, action string, clause string, source string, trust string, valid_until string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -581,20 +581,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The journal in files of JSON lines, as changes: the files in the order of their names, a number for each line.
 
     A line holds (ts, op, namespace, opId, added, removedClauses) and perhaps sourceText, trust and validUntil. A line that isn't
-    such an object, or has an operation that isn't known, is an error that names the line. A file is read by one task:
-    journals are rotated before a file is large.
+    such an object, or has an operation that isn't known, is an error that names the line. Large files are read by several tasks,
+    each a block; a line's number is that of its block's first line and its place in the block, so no file is in one task's memory.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\n$", "").alias("value"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    sizes = files.select("file", F.size(F.split("value", "\n")).alias("n")).orderBy("file").limit(100_001).collect()
+    block = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    # written, as the places of lines hold for one pass only
+    lines = written(spark.read.text(path, lineSep="\n").select(*block, F.monotonically_increasing_id().alias("id"), F.col("value").alias("text")), "lines")
+    sizes = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")).orderBy("file", "block").limit(100_001).collect()
     if len(sizes) > 100_000:
-        raise LimitError("more than 100,000 files")
+        raise LimitError("more than 100,000 files or blocks of files")
     before, rows = 0, []
     for r in sizes:
-        rows.append((r["file"], before))
+        rows.append((r["file"], r["block"], before - r["first"]))
         before += r["n"]
-    start = spark.createDataFrame(rows, "file string, before long")
-    df = lines.join(F.broadcast(start), "file").select((F.col("before") + F.col("line") + 1).alias("sequence"), "text", F.from_json("text", LINES).alias("x"))
+    start = spark.createDataFrame(rows, "file string, block long, before long")
+    df = lines.join(F.broadcast(start), ["file", "block"]).select((F.col("before") + F.col("id") + 1).alias("sequence"), "text", F.from_json("text", LINES).alias("x"))
     fine = F.col("x.op").isin(*OPERATIONS) & F.col("x.namespace").isNotNull() & F.col("x.opId").isNotNull() & F.col("x.ts").isNotNull() & F.coalesce("x.added", "x.removedClauses").isNotNull()
     checked = F.when(F.coalesce(fine, F.lit(False)), F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("sequence"), F.lit(" of the journal is no entry: "), F.coalesce(F.col("text"), F.lit("")))).cast("long"))
     many = lambda c, action, first: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t, i: F.struct((i + first).cast("int").alias("position"), F.lit(action).alias("action"), t.alias("clause")))

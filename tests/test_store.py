@@ -164,6 +164,22 @@ def test_json_lines(spark, tmp_path):
         journal.read_lines(spark, str(tmp_path)).collect()
 
 
+def test_json_lines_of_a_large_file(spark, tmp_path):
+    """A file of several blocks is read by several tasks, and its lines keep their numbers; empty files have none."""
+    line = '{"ts":"t","op":"assert","namespace":"m","opId":"%d","added":["p(%d)."]}\n'
+    (tmp_path / "0001.jsonl").write_text("".join(line % (i, i) for i in range(1, 501)))
+    (tmp_path / "0002.jsonl").write_text("")
+    (tmp_path / "0003.jsonl").write_text("".join(line % (i, i) for i in range(501, 701)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        j = journal.read_lines(spark, str(tmp_path))
+        assert j.rdd.getNumPartitions() > 3
+        assert [(r["sequence"], r["op_id"]) for r in j.orderBy("sequence").collect()] == [(i, str(i)) for i in range(1, 701)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_problems(spark):
     row = lambda n, op, action, clause: (n, 0, "t", "m", op, action, clause, None, None, None)
     j = spark.createDataFrame([row(1, "a", "assert", "p."), row(2, "b", "retract", "q."), row(3, "c", "retract", "p."), row(4, "c", "assert", "p."), row(5, "d", "move", "p."), row(6, None, "assert", "r.")], journal.SCHEMA)
