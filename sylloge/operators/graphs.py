@@ -29,11 +29,26 @@ def incidences(e: Engine, derived: bool = False) -> DataFrame:
     return reduce(DataFrame.union, frames).where("entity IS NOT NULL")
 
 
-def neighbourhood(inc: DataFrame, start: str, depth: int = 1, most: int = 100) -> DataFrame:
-    """(claim, depth): claims within so many steps of an entity, each with its least; an error for more than most claims."""
-    if not 1 <= depth <= MAX_DEPTH or not 1 <= most <= MAX_CLAIMS:
+def neighbourhood(inc: DataFrame, start: str, depth: int = 1, most: int | None = 100) -> DataFrame:
+    """(claim, depth): claims within so many steps of an entity, each with its least; an error for more than most claims.
+
+    most None: however many there are; they and their entities stay in tables.
+    """
+    if not 1 <= depth <= MAX_DEPTH or most is not None and not 1 <= most <= MAX_CLAIMS:
         raise ValueError(f"depth up to {MAX_DEPTH}, claims up to {MAX_CLAIMS}")
     spark = inc.sparkSession
+    if most is None:
+        front = seen = spark.createDataFrame([(start,)], "entity string")
+        out = None
+        for d in range(1, depth + 1):
+            claims = inc.join(front, "entity", "left_semi").select("claim").distinct()
+            new = written((claims if out is None else claims.join(out, "claim", "left_anti")).withColumn("depth", F.lit(d)), "claims")
+            out = new if out is None else out.union(new)
+            if d == depth or new.isEmpty():
+                break
+            front = written(inc.join(new, "claim", "left_semi").select("entity").distinct().join(seen, "entity", "left_anti"), "entities")
+            seen = seen.union(front)
+        return out
     entities = spark.createDataFrame([(start,)], "entity string")
     seen_e, out = entities, None
     for d in range(1, depth + 1):
