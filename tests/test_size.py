@@ -2,6 +2,7 @@
 
 import pytest
 
+from sylloge.operators import graphs, policy, retrieval
 from sylloge.plans import compiler, registry
 from sylloge.plans.engine import Engine
 from tests.conftest import SF, same_rows
@@ -44,3 +45,35 @@ def test_sql_of_keyed_tables(spark):
     df = spark.createDataFrame([(1, 2)], "k int, v int")
     e = Engine(spark).register("a", df, keys=("k",)).register("b", df)
     assert e.to_sql("p(X, Y) :- a(X, V), a(Y, V).").startswith("SELECT t0.") and e.to_sql("p(X) :- a(X, V), b(Y, V).").startswith("SELECT DISTINCT") and e.to_sql("p(V) :- a(_, V).").startswith("SELECT DISTINCT")
+
+
+RULES = """old(X) :- age(X, N), N > 3. old(X) :- tall(X). quiet(X) :- age(X, _), \\+ old(X). never(X) :- nothing(X), age(X, _). sum(K, N) :- count(*) as N where up(X, K), old(X). none(N) :- count(*) as N where nothing(X).
+    way(X, Y) :- up(X, Y). way(X, Z) :- way(X, Y), up(Y, Z). far(X) :- way(X, 0), quiet(X). old(7). go :- age(9, _). up(3, 0)."""
+
+
+@pytest.mark.parametrize("query", ["old(X)", "quiet(X)", "never(X)", "sum(K, N)", "none(N)", "way(X, Y)", "far(X)", "age(X, _), old(X)", "way(X, X)", "go", "age(X, _), \\+ way(X, 0)", "select X where old(X), way(X, Y), Y < 2", "tall(X)"])
+def test_rules_used(spark, query):
+    """The rules that proofs on the driver use and those that tables give."""
+    e = Engine(spark).register("age", spark.createDataFrame([(i, i % 7) for i in range(1, 12)], "x long, n int")).register("tall", spark.createDataFrame([(2,), (5,)], "x long"))
+    e.register("up", spark.createDataFrame([(i, i // 2) for i in range(1, 12)], "x long, y long")).load(RULES)
+    assert e.rules_used(query) == {n for _, proofs in e.explain(query) for p in proofs for n in policy.rules_used(p)}
+
+
+def test_coverage_of_many_facts(spark):
+    e = Engine(spark).register("n", spark.range(100_001)).load("big(X) :- n(X), X > 7. less(X) :- n(X), X < 0.")
+    assert policy.rule_coverage(e, [policy.Check("big", "big(X)"), policy.Check("less", "less(X)")]) == {"percent": 50.0, "used": [1], "unused": [2]}
+
+
+def test_neighbourhood_of_many_claims(spark):
+    e = Engine(spark).register("lives", spark.range(1500).selectExpr("concat('p', id) AS p", "concat('town', id % 2) AS t"), unique=True).load("in(town0, land). in(land, world). in(town1, land).")
+    got = {d: n for d, n in graphs.neighbourhood(graphs.incidences(e), "town0", 3, None).groupBy("depth").count().collect()}
+    assert got == {1: 751, 2: 2, 3: 750}
+
+
+def test_large_integers_in_many_rows(spark):
+    e = Engine(spark).register_portable("p", spark.range(100_001), None, None)
+    assert e.query("p(X)").count() == 100_001
+
+
+def test_near_words_are_not_broadcast(spark):
+    assert "Broadcast" not in plan(retrieval.near_words(spark.createDataFrame([("test",), ("tests",)], "w string")))
