@@ -1,6 +1,11 @@
 """What large tables need: joins that are spread over all tasks, and no bound that only small tables keep."""
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sylloge.functions.vectors import cosine
 
 from sylloge.operators import graphs, policy, retrieval
 from sylloge.plans import compiler, registry
@@ -77,3 +82,18 @@ def test_large_integers_in_many_rows(spark):
 
 def test_near_words_are_not_broadcast(spark):
     assert "Broadcast" not in plan(retrieval.near_words(spark.createDataFrame([("test",), ("tests",)], "w string")))
+
+
+def test_nearest(spark):
+    """Against all pairs in JVM: copies, nulls, zeros, vectors of other lengths, NaN; in one block and in several."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(150)]
+    rows += [(150, None), (151, [0.0, 0.0, 0.0]), (152, [1.0, 2.0]), (153, [2.0, 4.0]), (154, [float("nan"), 1.0, 1.0]), (155, []), (156, [1.0, None, 2.0]), (157, [1e-3, 2e-3])]
+    a = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = a.where("id % 5 = 0 OR id > 149")
+    sims = q.select(F.col("id").alias("query_id"), F.col("vector").alias("e")).join(a.withColumnRenamed("id", "doc_id"), F.col("doc_id") != F.col("query_id"))
+    sims = sims.select("query_id", "doc_id", F.round(cosine(F.col("e"), F.col("vector")), 6).alias("similarity")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")))
+    show = lambda df: sorted((r["query_id"], r["doc_id"], str(r["similarity"] + 0.0) if r["similarity"] is not None else "") for r in df.collect())
+    want = show(sims.where("r <= 5"))
+    for blocks in ((None, None), (7, 4)):
+        assert show(retrieval.nearest(a, q, 5, *blocks)) == want
