@@ -97,3 +97,19 @@ def test_nearest(spark):
     want = show(sims.where("r <= 5"))
     for blocks in ((None, None), (7, 4)):
         assert show(retrieval.nearest(a, q, 5, *blocks)) == want
+
+
+def test_search_keeps_few(spark, monkeypatch):
+    """The streamed search against the joins: ties, documents in several rows, ids that are text, queries without words."""
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(f"word{x}" for x in rng.integers(0, 40, n))
+    docs = spark.createDataFrame([(f"d{i % 180}", text(int(rng.integers(0, 30)))) for i in range(200)], "doc_id string, text string")
+    queries = spark.createDataFrame([(i, text(i)) for i in range(12)], "item_id int, text string")
+    show = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in df.collect())
+    monkeypatch.setattr(retrieval, "SCORES", 60)
+    few = [show(f(docs, queries, 4)) for f in (retrieval.document_search, retrieval.bm25)]
+    assert "MapInArrow" in plan(retrieval.document_search(docs, queries, 4))
+    monkeypatch.setattr(retrieval, "CONSTANT_WORDS", 1)
+    assert few == [show(f(docs, queries, 4)) for f in (retrieval.document_search, retrieval.bm25)]
+    monkeypatch.setattr(retrieval, "PAIRS", 1)
+    assert few == [show(f(docs, queries, 4)) for f in (retrieval.document_search, retrieval.bm25)] and len(few[0]) > 30
