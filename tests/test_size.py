@@ -130,3 +130,54 @@ def test_joined_column():
     assert engine._joined([("anc", 2)], rules[:2]) == {("up", 2): 0} and engine._joined([("by", 1)], rules[2:]) == {("up", 2): 0}
     assert engine._joined([("anc", 2)], parse_program("anc(X, Z) :- up(X, Y), anc(Y, Z).")) == {("up", 2): 1}
     assert engine._joined([("anc", 2)], parse_program("anc(X, Z) :- anc(X, Y), up(Y, Z). anc(X, Z) :- up(X, Y), anc(Y, Z).")) == {}
+
+
+CLOSURES = ["way(X, Z) :- way(X, Y), up(Y, Z).", "way(X, Z) :- up(X, Y), way(Y, Z).", "way(X, Z) :- way(X, Y), way(Y, Z)."]
+UPS = {  # pairs, their type, and whether their closure is made by doubling
+    "tree": ([(i, i // 2) for i in range(1, 40)] * 2, "long", True), "turned": ([(i // 2, i) for i in range(1, 40)], "int", True), "text": ([(f"n{i}", f"n{i + 3}") for i in range(30)], "string", True),
+    "one step": ([(1, 2), (3, 2)], "long", True), "nulls": ([(1, 2), (2, None), (None, 1), (5, 1)], "long", True), "cycle": ([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6)], "long", False),
+    "loop": ([(1, 1), (2, 1)], "long", False), "graph": ([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], "long", False), "doubles": ([(1.0, 2.0), (2.0, 3.0)], "double", False), "none": ([], "long", True),
+}
+
+
+@pytest.mark.parametrize(("name", "rule"), [(n, CLOSURES[i % 3]) for i, n in enumerate(UPS)])
+def test_closure(spark, monkeypatch, name, rule):
+    """Closures by doubling and by rounds against steps one by one; trees never take the rounds, which move each pair more often."""
+    pairs, kind, doubled = UPS[name]
+    want, new = set(), set(pairs)
+    while new - want:
+        want |= new
+        new = {(a, d) for a, b in want for c, d in pairs if b == c and b is not None}
+    rounds = []
+    by_rounds = Engine._fixpoint_spark
+    monkeypatch.setattr(Engine, "_fixpoint_spark", lambda self, *a: rounds.append(1) or by_rounds(self, *a))
+    e = Engine(spark, local_rows=0).register("up", spark.createDataFrame(pairs, f"x {kind}, y {kind}")).load("way(X, Y) :- up(X, Y). " + rule)
+    got = [tuple(r) for r in e.query("way(X, Y)").collect()]
+    assert len(got) == len(want) and set(got) == want and bool(rounds) != doubled
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sylloge_")]
+
+
+def test_closure_keeps_bounds(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "x long, y long")
+    for most, fine in ((6, False), (7, True)):
+        e = Engine(spark, max_rounds=most, local_rows=0).register("up", chain, keys=("x",)).load("way(X, Y) :- up(X, Y). " + CLOSURES[0])
+        if fine:
+            assert e.query("way(X, Y)").count() == 21
+        else:
+            with pytest.raises(engine.LimitError):
+                e.query("way(X, Y)")
+
+
+@pytest.mark.parametrize("name", ["reach_large_ids_distributed", "reach_nonlinear", "recursion_aggregate"])
+def test_rounds(spark, duck, monkeypatch, name):
+    """The same queries by rounds, as closures that aren't of trees are derived."""
+    monkeypatch.setattr(engine, "_closes", lambda group, rules: None)
+    test_kept_relations(spark, duck, monkeypatch, name)
+
+
+def test_rules_of_closures():
+    closes = lambda text: engine._closes([("way", 2)], parse_program("way(X, Y) :- up(X, Y). " + text))
+    assert all(closes(r) == ("up", 2) for r in (*CLOSURES, "way(A, C) :- up(B, C), way(A, B).", " ".join(CLOSURES)))
+    for other in ("way(X, Z) :- way(Y, X), up(Y, Z).", "way(Z, X) :- way(X, Y), up(Y, Z).", "way(X, Z) :- way(X, Y), by(Y, Z).", "way(X, Z) :- up(X, Y), up(Y, Z).", "way(X, Z) :- way(X, Y), up(Y, Z), X != Z.",
+                  "way(X, 1) :- way(X, Y), up(Y, 1).", "way(X, X) :- way(X, Y), up(Y, X).", "way(X, Y) :- way(X, _), up(_, Y).", "way(X, Y) :- by(X, Y). " + CLOSURES[0], "way(X, Z) :- up(X, Z), \\+ up(Z, X)."):
+        assert closes(other) is None
