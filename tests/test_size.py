@@ -34,6 +34,32 @@ def test_chunks_are_in_order(spark, monkeypatch):
     assert "Sort " in plan(df) and sorted(map(tuple, df.collect())) == [(a, b) for a in range(50) for b in range(10)]
 
 
+@pytest.mark.parametrize("query", ["a(X, U), b(Y, V), U > V * 2 - 1", "a(X, U), b(Y, V), U < Y", "a(X, _), b(_, V), V > 1", "a(X, U), b(Y, V)", "a(X, U), b(Y, V), U != V, X < 9, c(Z), Z > X", "a(X, U), d(W), W > U", "select X where a(X, 1), d(W), W < X"])
+def test_tiles(spark, monkeypatch, query):
+    """Pairs by tiles are those of plain products: nulls, rows that come twice, tests of either side, of both and of none."""
+    a, b = [(i % 90, None if i % 11 == 0 else i % 5) for i in range(100)], [(i, None if i % 9 == 0 else i % 2) for i in range(30)] + [(None, 1), (3, 1)]
+    e = Engine(spark).register("a", spark.createDataFrame(a, "x long, u int")).register("b", spark.createDataFrame(b, "y long, v int"))
+    e.register("c", spark.range(3)).register("d", spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),)] * 9, "w double"))
+    show = lambda df: sorted(map(repr, df.collect()))
+    want = show(e.query(query))
+    monkeypatch.setattr(compiler, "SPREAD_BYTES", 0)
+    monkeypatch.setattr(compiler, "BROADCAST_BYTES", 2**100)
+    for chunk, block in ((3, 4), (256, 512)):
+        monkeypatch.setattr(compiler, "CHUNK_ROWS", chunk)
+        monkeypatch.setattr(compiler, "BLOCK_ROWS", block)
+        df = e.query(query)
+        assert show(df) == want
+        # neither lies in a stage of generated code, which would hold all pairs of a block in memory
+        assert "- BroadcastNestedLoopJoin" in plan(df) and "- Generate inline(filter(__rows" in plan(df)
+
+
+def test_equal_values_are_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(compiler, "SPREAD_BYTES", 0)
+    e = Engine(spark).register("a", spark.range(30).selectExpr("id", "id % 3")).register("b", spark.range(9))
+    df = e.query("a(X, _), b(Y), X = Y * 2, X > Y")
+    assert sorted(map(tuple, df.collect())) == [(2 * y, y) for y in range(1, 9)] and "NestedLoop" not in plan(df) and "__rows" not in plan(df)
+
+
 def test_edges_that_differ_are_not_compared(spark):
     """Where solutions differ in the values that edges show, none is sent to be made distinct; elsewhere all are."""
     e = Engine(spark).register("lives", spark.createDataFrame([('a"b', 1), (None, 2), ("c", 1)], "n string, k int"), unique=True)
