@@ -142,6 +142,39 @@ def test_search_keeps_few(spark, monkeypatch):
     assert few == [show(f(docs, queries, 4)) for f in (retrieval.document_search, retrieval.bm25)] and len(few[0]) > 30
 
 
+def test_search_gathers_repeated_ids_only(spark, monkeypatch):
+    """Words of documents of one row are scored where they are read; with ids that repeat, null texts and texts without hits the results are those of the joins."""
+    queries = spark.createDataFrame([(i, f"tea{i} milk{i % 3}") for i in range(9)], "item_id int, text string")
+    rows = [(i, f"tea{i % 9} milk{i % 4} tea{i % 7}") for i in range(40)] + [(i, "nothing asked") for i in range(40, 60)] + [(60, None), (61, "")]
+    show = lambda df: sorted(map(tuple, df.select("query_id", "rank", "doc_id", "score").collect()))
+    several = [(3, "tea0 milk0"), (3, "tea0"), (50, "tea1 milk1"), (60, "milk2")]
+    got = []
+    for more, gathers in (([], False), (several, True)):
+        docs = spark.createDataFrame(rows + more, "doc_id int, text string")
+        df = retrieval.document_search(docs, queries, 5)
+        assert ("collect_list" in plan(df)) == gathers and "Exchange" in plan(df) and (gathers or "Exchange" not in plan(df).split("MapInArrow")[1])
+        got.append(show(df))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "BROADCAST_WORDS", 1)
+            df = retrieval.document_search(docs, queries, 5)
+            assert show(df) == got[-1] and "LeftAnti" not in plan(df)
+            m.setattr(retrieval, "PAIRS", 1)
+            assert show(retrieval.document_search(docs, queries, 5)) == got[-1]
+    assert got[0] != got[1] and (0, 1, 3, 3) in got[1]
+
+
+def test_candidates_texts_are_not_sorted(spark, monkeypatch):
+    """The ids of candidates are sent to the texts, whatever the planner thinks of their size."""
+    plans, write = {}, retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, label: plans.update({label: plan(df)}) or write(df, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert registry.QUERIES["rerank_topk"](spark, SF).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans["chunks"] and "SortMergeJoin" not in plans["chunks"]
+
+
 @pytest.mark.parametrize("name", ["reach_large_ids_distributed", "reach_nonlinear", "recursion_aggregate"])
 def test_kept_relations(spark, duck, monkeypatch, name):
     """What every round joins lies in buckets by its column; the results are the same."""
